@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from larkspur.llm import common as C
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.decontaminate import contamination
+
+    found = contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import quality as Q
+
+    docs = C.table(spark, sf_dir, "documents")
+    scored = Q.score(docs, Q.train(docs, C.table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("_id").cast("string").cast("binary")) % 4 == 2
+    return scored.select(F.col("_id").alias("doc_id"), held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.packing import pack
 
@@ -39,8 +55,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_sharding": op7_sharding,
     "op9_token_files": op9_token_files,
 }
+QUERIES["op10_quality"] = op10_quality
 ORACLES: dict[str, str] = {}
