@@ -30,6 +30,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(C.table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.near_duplicates import components
+
+    return components(C.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.sharding import shard_by_bytes
 
@@ -57,6 +63,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_sharding": op7_sharding,
     "op9_token_files": op9_token_files,
 }
