@@ -36,6 +36,16 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(C.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import language_model as LM
+
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = LM.train(docs.where(~held_out))
+    scored = LM.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.sharding import shard_by_bytes
 
@@ -64,6 +74,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_language_model": op6_language_model,
     "op7_sharding": op7_sharding,
     "op9_token_files": op9_token_files,
 }
