@@ -24,6 +24,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("_id").alias("doc_id"), held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: verdict, host, path
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.url_trust import judge
+
+    return judge(C.table(spark, sf_dir, "pages"), RULES)
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.html_text import extract
+
+    return extract(C.table(spark, sf_dir, "pages"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.nearest import search
+
+    return search(C.table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.packing import pack
 
@@ -78,5 +100,6 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op9_token_files": op9_token_files,
 }
+QUERIES |= {"op2_url_trust": op2_url_trust, "op3_html_text": op3_html_text, "op8_nearest": op8_nearest}
 QUERIES["op10_quality"] = op10_quality
 ORACLES: dict[str, str] = {}
