@@ -130,22 +130,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return np.frombuffer(bytes(got[0][0]), "<f8") if got else np.zeros((1 << BITS) + 1)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """(doc_id, score) for every text; keep names columns of docs to carry along.
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", keep: list[str] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns of docs and each text's score, under a name that is not among them.
 
-    A null text is an empty one, which scores by the bias alone.
+    A null text is an empty one, which scores by the bias alone. Other columns
+    stay as they are, whatever they hold; an empty table gives no row.
     """
     spark = C.prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(weights)
-    chosen = docs.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(c) for c in keep])
-    out = ", ".join(["_score double", "_id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[2:]]])
+    sent = [*keep, *([] if text_col in keep else [text_col])]
+    chosen, at = docs.select(*[F.col(f"`{c}`") for c in sent]), sent.index(text_col)
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(keep)]), f"`{name}` double"])
 
     def run(batches):
         w = shared.value
         for batch in batches:
-            owner, feature, value = features(batch.column(0))
+            owner, feature, value = features(batch.column(at))
             dot = np.bincount(owner, w[feature] * value, minlength=len(batch))[: len(batch)] if len(owner) else np.zeros(len(batch))
             p = 1 / (1 + np.exp(-np.clip(dot + w[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([pa.array(p), *batch.columns[1:]], names=["_score", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p)], names=[*batch.schema.names[: len(keep)], name])
 
     return chosen.mapInArrow(run, out)
