@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from larkspur.llm import common as C
 from larkspur.llm import kernels as K
 
-DIMS = 256
+#: Bits of the number of groups, at least and at most.
+DIM_BITS = (6, 12)
 LEAF = 32
 BLOCK = 4096
 ROWS = "kind int, sig long, cls long, pivot long, id long, n long, vec binary"
@@ -91,10 +92,24 @@ def set_names(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(size > 0, K.mix((total[ends] - total[ends - size]) ^ (size.astype(np.uint64) << np.uint64(3))) | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
-def count_vectors(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+def count_vectors(h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each set's counts (255 at most) over about as many groups as it has shingles, a power of two."""
+    bits = np.clip(np.ceil(np.log2(np.maximum(size, 1))), *DIM_BITS).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(1 << bits)])
     owner = np.repeat(np.arange(len(size)), size)
-    group = (K.mix(h) % np.uint64(DIMS)).astype(np.int64)
-    return np.minimum(np.bincount(owner * DIMS + group, minlength=len(size) * DIMS), 65535).astype("<u2").reshape(-1, DIMS)
+    group = (K.mix(h) >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(base[owner] + group, minlength=base[-1]), 255).astype(np.uint8).tobytes()
+    return [counts[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def folded(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors as rows of one length: neighbouring groups are merged down to the coarsest."""
+    dims = min(map(len, vectors), default=0)
+    out = np.empty((len(vectors), dims), np.uint8)
+    for i, v in enumerate(vectors):
+        row = np.frombuffer(v, np.uint8)
+        out[i] = row if len(row) == dims else np.minimum(row.reshape(dims, -1).sum(axis=1), 255)
+    return out
 
 
 def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) -> DataFrame:
@@ -109,7 +124,7 @@ def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) ->
             n = len(ids)
             ends = np.cumsum(size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), pa.array(K.mix(np.arange(n).astype(np.uint64) ^ names.view(np.uint64)).view(np.int64)), pa.array(names), pa.array(names), pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array([v.tobytes() for v in vec])],
+                [pa.array(np.zeros(n, np.int32)), pa.array(K.mix(np.arange(n).astype(np.uint64) ^ names.view(np.uint64)).view(np.int64)), pa.array(names), pa.array(names), pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(vec, pa.binary())],
                 names=["kind", "sig", "cls", "pivot", "id", "n", "vec"],
             )
             total = np.zeros(len(h) + 1, np.uint64)
@@ -189,10 +204,10 @@ def passes(measure: Measure, pairs: DataFrame, points: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, DIMS) for c in (4, 5))
-            minima = np.minimum(va, vb).sum(axis=1, dtype=np.int64)
             total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = total - 2 * minima <= measure.most_apart(total)
+            both = (folded([a, b]).astype(np.int64) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
+            apart = np.array([v.sum() - 2 * np.minimum(v[0], v[1]).sum() for v in both])
+            keep = apart <= measure.most_apart(total)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb")
@@ -245,7 +260,7 @@ class RTree:
     def __init__(self, n: np.ndarray, points: np.ndarray):
         spread = np.argsort(-points.astype(np.float64).var(axis=0))[:2] if len(points) else [0, 0]
         self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], n))
-        self.n, self.points = n[self.order], points[self.order].astype(np.int32)
+        self.n, self.points = n[self.order], points[self.order].astype(np.int16)
         at = np.arange(0, len(n), LEAF)
         self.low, self.high = np.minimum.reduceat(self.points, at), np.maximum.reduceat(self.points, at)
         self.top = np.maximum.reduceat(self.n, at)
@@ -253,24 +268,24 @@ class RTree:
 
     def within(self, measure: Measure, n: int, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Members that the bound lets be linked with the point, and their L1 distances."""
-        gap = (np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)).sum(axis=1)
+        gap = (np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)).sum(axis=1, dtype=np.int64)
         sized = (self.bottom * measure.num <= n * measure.den) & (n * measure.num <= self.top * measure.den)
         leaves = np.flatnonzero(sized & (gap <= measure.most_apart(self.top + n)))
         if not len(leaves):
             return leaves, leaves
         rows = K.ragged(leaves * LEAF, np.minimum(LEAF, len(self.n) - leaves * LEAF))
-        apart = np.abs(self.points[rows] - point).sum(axis=1)
+        apart = np.abs(self.points[rows] - point).sum(axis=1, dtype=np.int64)
         keep = apart <= measure.most_apart(self.n[rows] + n)
         return self.order[rows[keep]], apart[keep]
 
 
-def forest(measure: Measure, members: DataFrame, refuted: DataFrame) -> DataFrame:
-    """Per entry (block) a spanning forest, over components, of untested pairs that pass the bound."""
+def candidates(measure: Measure, members: DataFrame, refuted: DataFrame, every: bool) -> DataFrame:
+    """Per entry (block) the untested pairs across components that pass the bound: all, or a spanning forest of them."""
     out = "a long, b long"
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         cls, label, n = (left.column(c).to_numpy() for c in ("cls", "label", "n"))
-        points = np.frombuffer(b"".join(left.column("vec").to_pylist()), "<u2").reshape(-1, DIMS)
+        points = folded(left.column("vec").to_pylist())
         asks = left.column("asks").to_numpy(zero_copy_only=False)
         held = np.flatnonzero(~asks)
         tested = set(zip(right.column("a").to_pylist(), right.column("b").to_pylist()))
@@ -278,7 +293,7 @@ def forest(measure: Measure, members: DataFrame, refuted: DataFrame) -> DataFram
         if len(held):
             tree = RTree(n[held], points[held])
             for i in np.flatnonzero(asks).tolist():
-                near, apart = tree.within(measure, int(n[i]), points[i].astype(np.int32))
+                near, apart = tree.within(measure, int(n[i]), points[i].astype(np.int16))
                 near = held[near]
                 other = label[near] != label[i]
                 for j, d in zip(near[other].tolist(), apart[other].tolist()):
@@ -295,7 +310,9 @@ def forest(measure: Measure, members: DataFrame, refuted: DataFrame) -> DataFram
 
         pairs = []
         for _, a, b, la, lb in sorted(found):
-            if (ra := root(la)) != (rb := root(lb)):
+            if every:
+                pairs.append((a, b))
+            elif (ra := root(la)) != (rb := root(lb)):
                 parent[ra] = rb
                 pairs.append((a, b))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
@@ -337,6 +354,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = C.stored(passes(measure, star, reps), "pairs")
     spark = docs.sparkSession
     links = refuted = spark.createDataFrame([], "a long, b long")
+    every = False  # the first round links most of what remains by few pairs; the next ones leave none untested
     while True:
         tested = verify(measure, pairs, reps, docs, id_col, text_col)
         links = C.stored(links.union(tested.where("linked").select("a", "b")), "links")
@@ -346,7 +364,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         split = named.groupBy("sig").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         once = split.groupBy("k", "who").agg(F.min("sig").alias("sig")).select("sig")  # entries with the same members need one tree
         open_ = blocks(named.join(once, "sig")).join(reps.select("cls", "n", "vec"), "cls")
-        pairs = C.stored(forest(measure, open_, refuted), "pairs")
+        pairs = C.stored(candidates(measure, open_, refuted, every), "pairs")
+        every = True
         if pairs.limit(1).count() == 0:
             break
     named = texts.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("label"))
