@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,11 +100,14 @@ def count_vectors(h: np.ndarray, size: np.ndarray) -> list[bytes]:
     owner = np.repeat(np.arange(len(size)), size)
     group = (K.mix(h) >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64)
     counts = np.minimum(np.bincount(base[owner] + group, minlength=base[-1]), 255).astype(np.uint8).tobytes()
-    return [counts[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+    packer = zstandard.ZstdCompressor(level=1)
+    return [packer.compress(counts[a:b]) for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
 
 
 def folded(vectors: list[bytes]) -> np.ndarray:
     """Count vectors as rows of one length: neighbouring groups are merged down to the coarsest."""
+    unpacker = zstandard.ZstdDecompressor()
+    vectors = [unpacker.decompress(v) for v in vectors]
     dims = min(map(len, vectors), default=0)
     out = np.empty((len(vectors), dims), np.uint8)
     for i, v in enumerate(vectors):
