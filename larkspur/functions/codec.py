@@ -7,6 +7,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur import errors as E
 
@@ -47,7 +48,7 @@ def repack_one(blob: bytes) -> bytes:
     return pack_one(values)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else pack_one(v))
 
@@ -61,13 +62,13 @@ def _attempt(f, blob):
         return None, e.code
 
 
-@F.pandas_udf("vector array<float>, error long")
+@F.pandas_udf(T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.LongType())]))
 def unpack(blobs: pd.Series) -> pd.DataFrame:
     got = [_attempt(unpack_one, b) for b in blobs]
     return pd.DataFrame({"vector": [v for v, _ in got], "error": pd.array([e for _, e in got], dtype="Int64")})
 
 
-@F.pandas_udf("blob binary, error long")
+@F.pandas_udf(T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("error", T.LongType())]))
 def repack(blobs: pd.Series) -> pd.DataFrame:
     got = [_attempt(repack_one, b) for b in blobs]
     return pd.DataFrame({"blob": [v for v, _ in got], "error": pd.array([e for _, e in got], dtype="Int64")})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +28,26 @@ def actions(store: DataFrame, docs: DataFrame, limit: int = 6000) -> DataFrame:
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Deterministic offline embedding: signed word hashes summed in buckets, of unit length."""
-    words = F.filter(F.split(F.lower(text), " "), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.md5(w.cast("binary")))
-    cells = F.transform(hashes, lambda h: F.struct((F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % dim).alias("b"), F.when(F.substring(h, 8, 1) < "8", 1.0).otherwise(-1.0).alias("s")))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    total = F.aggregate(cells, zero, lambda acc, c: F.transform(acc, lambda x, i: x + F.when(i == c["b"], c["s"]).otherwise(0.0)))
-    length = F.sqrt(F.aggregate(total, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(total, lambda x: F.when(length > 0, x / length).otherwise(0.0).cast("float"))
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, float]] = {}
+
+        def one(text: str | None) -> np.ndarray:
+            out = np.zeros(dim)
+            for word in (text or "").lower().split(" "):
+                if word:
+                    if word not in known:
+                        h = hashlib.md5(word.encode()).hexdigest()
+                        known[word] = (int(h[:7], 16) % dim, 1.0 if h[7] < "8" else -1.0)
+                    bucket, sign = known[word]
+                    out[bucket] += sign
+            length = np.sqrt(out @ out)
+            return (out / length if length else out).astype(np.float32)
+
+        return texts.map(one)
+
+    return embed(text)
 
 
 def ingest(store: DataFrame, docs: DataFrame, embed=hashed_embedding, now: int = 0) -> DataFrame:
