@@ -79,6 +79,10 @@ def nonnegative_least_squares(columns: list[tuple[int, ...]], target: np.ndarray
     return x
 
 
+#: Shares of a sequence that a pattern must fill to be used; the plan of the fewest sequences is taken.
+FILLS = (1.0, 0.995, 0.97, 0.0)
+
+
 def plan(histogram: dict[int, int], width: int = WIDTH) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, pieces, first sequence, offset) and the number of sequences.
 
@@ -87,6 +91,13 @@ def plan(histogram: dict[int, int], width: int = WIDTH) -> tuple[np.ndarray, int
     left = np.zeros(width + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
+    columns = patterns(np.flatnonzero(left[:width]), width)
+    x = nonnegative_least_squares(columns, np.append(left[:width], 0).astype(float))
+    return min((fill(left.copy(), columns, x, f, width) for f in FILLS), key=lambda made: made[1])
+
+
+def fill(left: np.ndarray, columns: list[tuple[int, ...]], x: np.ndarray, least: float, width: int) -> tuple[np.ndarray, int]:
+    """Rounded repeats of the patterns that fill at least this share, then the residuals best-fit decreasing."""
     cursor = np.zeros(width + 1, np.int64)
     runs: list[tuple[int, int, int, int, int]] = []
     sequences = 0
@@ -109,10 +120,10 @@ def plan(histogram: dict[int, int], width: int = WIDTH) -> tuple[np.ndarray, int
         n = int(left[width])
         put(width, n, 0, 0)
         sequences = n
-    columns = patterns(np.flatnonzero(left[:width]), width)
-    x = nonnegative_least_squares(columns, left.astype(float))
-    for k in sorted(range(len(columns)), key=lambda k: (sum(columns[k]) < width, -x[k])):
+    for k in sorted(range(len(columns)), key=lambda k: (-sum(columns[k]), -x[k])):
         pattern = columns[k]
+        if sum(pattern) < least * width:
+            break
         n = int(min([np.floor(x[k] + 1e-9), *(left[v] // pattern.count(v) for v in pattern)]))
         if n > 0:
             offset = 0

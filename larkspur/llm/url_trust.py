@@ -65,7 +65,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     A url without ``://``, or null, has an empty host and path. A host's seeds
     are the shares of its pages that rules allow and block. A page no rule fits
     is blocked if its host's distrust is over threshold of the host's trust,
-    distrust and share of pages without a rule together; a host without any
+    distrust and half the seed of its pages without a rule together; a host without any
     mass is allowed. Null pages have no links; null and repeated ids keep their
     rows; an empty table gives no row.
     """
@@ -86,7 +86,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     seeds = of_host.select(F.lit("trust").alias("kind"), "host", F.col("trusted").alias("seed")).unionByName(of_host.select(F.lit("distrust").alias("kind"), "host", F.col("blamed").alias("seed"))).where("seed > 0")
     mass = propagate(edges, seeds, damping, tolerance, rounds)
     by_host = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
-    open_ = (1 - F.col("trusted") - F.col("blamed")) * (1 - damping)
+    open_ = (1 - F.col("trusted") - F.col("blamed")) * (1 - damping) / 2
     scores = of_host.join(by_host, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), open_.alias("open"))
     scores = scores.select("host", "trust", "distrust", ((F.col("distrust") > 0) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust") + F.col("open")))).alias("bad"))
     joined = judged.join(scores, "host", "left")
