@@ -1,4 +1,7 @@
-"""The opN_ queries: each applies its operator to whole tables and derives digest columns."""
+"""The opN_ queries: each applies its operator to whole tables and derives digest columns.
+
+ORACLES is DuckDB SQL for those that SQL can express.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import common as C
+from larkspur.llm.oracles import ORACLES
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +106,4 @@ QUERIES = {
 }
 QUERIES |= {"op2_url_trust": op2_url_trust, "op3_html_text": op3_html_text, "op8_nearest": op8_nearest}
 QUERIES["op10_quality"] = op10_quality
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
