@@ -48,9 +48,14 @@ class Measure:
 
     def size_class(self, n: int) -> int:
         while self.low[-1] <= n:
-            self.low.append(self.low[-1] * self.den // self.num + 1)
+            self.low.append(self.low[-1] * self.den**2 // self.num**2 + 1)
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
+    def schemes(self, n: int) -> list[int]:
+        """Classes of the smaller set of any link of a set of this size: its own, and the one below if in reach."""
+        c = self.size_class(n)
+        return [c, c - 1] if c and n * self.num <= (self.low[c] - 1) * self.den else [c]
+
     def ranges(self, c: int) -> tuple[int, int]:
         """Ranges for pairs whose smaller set is of class c, and how many of them may be empty unseen."""
         most = (self.low[c + 1] - 1) * (self.den - self.num) // self.num
@@ -139,11 +144,10 @@ def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) ->
                 if not size[i]:
                     continue
                 a, b = int(ends[i] - size[i]), int(ends[i])
-                c = measure.size_class(int(size[i]))
-                for scheme in (c, c - 1):
-                    if scheme < 0 or (m_spare := measure.ranges(scheme))[0] < 2:
+                for scheme in measure.schemes(int(size[i])):
+                    m, spare = measure.ranges(scheme)
+                    if m < 2:
                         continue
-                    m, spare = m_spare
                     bounds = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
                     at = np.concatenate([[a], a + np.searchsorted(h[a:b], bounds), [b]])
                     value = total[at[1:]] - total[at[:-1]]
@@ -154,11 +158,11 @@ def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) ->
                     sigs.append(key)
                     owners.append(np.full(len(key), names[i]))
             if sigs:
-                sig, own = np.concatenate(sigs).view(np.int64), np.concatenate(owners)
+                # 48 bits: a chance meeting only adds a member to an entry
+                sig, own = (np.concatenate(sigs) >> np.uint64(16)).view(np.int64), np.concatenate(owners)
                 k = len(sig)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(k, np.int32)), pa.array(sig), pa.array(own), pa.array(own), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=["kind", "sig", "cls", "pivot", "id", "n", "vec"]
-                )
+                none = pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(sig), pa.array(own), none, none, none, pa.nulls(k, pa.binary())], names=["kind", "sig", "cls", "pivot", "id", "n", "vec"])
 
     def members(batches):
         held = (None, None)  # the entry and set that the batch before ended with
@@ -283,27 +287,39 @@ class RTree:
         return self.order[rows[keep]], apart[keep]
 
 
+def near_pairs(measure: Measure, n: np.ndarray, points: np.ndarray, asks: np.ndarray):
+    """(asking row, other row, L1 distance) of one block's pairs that pass the bound; a block of one leaf needs no tree."""
+    held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+    if len(held) > LEAF:
+        tree = RTree(n[held], points[held])
+        for i in asking.tolist():
+            near, apart = tree.within(measure, int(n[i]), points[i].astype(np.int16))
+            yield np.full(len(near), i), held[near], apart
+    elif len(held):
+        wide = points.astype(np.int16)
+        step = max(1, (1 << 22) // max(1, len(held) * points.shape[1]))
+        for lo in range(0, len(asking), step):
+            some = asking[lo : lo + step]
+            apart = np.abs(wide[some][:, None] - wide[held][None]).sum(axis=2, dtype=np.int64)
+            x, y = np.nonzero(apart <= measure.most_apart(n[some][:, None] + n[held][None]))
+            yield some[x], held[y], apart[x, y]
+
+
 def candidates(measure: Measure, members: DataFrame, refuted: DataFrame, every: bool) -> DataFrame:
-    """Per entry (block) the untested pairs across components that pass the bound: all, or a spanning forest of them."""
-    out = "a long, b long"
-
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        cls, label, n = (left.column(c).to_numpy() for c in ("cls", "label", "n"))
-        points = folded(left.column("vec").to_pylist())
-        asks = left.column("asks").to_numpy(zero_copy_only=False)
-        held = np.flatnonzero(~asks)
-        tested = set(zip(right.column("a").to_pylist(), right.column("b").to_pylist()))
+    """Per entry (block) the pairs across components that pass the bound, all or a spanning forest of them, less refuted ones."""
+    spark = C.prepare(members.sparkSession)
+    names = ["sig", "held", "asked", "cls", "label", "n", "asks", "vec"]
+
+    def chosen(block: pa.Table) -> list[tuple[int, int]]:
+        cls, label, n = (block.column(c).to_numpy() for c in ("cls", "label", "n"))
         found = []
-        if len(held):
-            tree = RTree(n[held], points[held])
-            for i in np.flatnonzero(asks).tolist():
-                near, apart = tree.within(measure, int(n[i]), points[i].astype(np.int16))
-                near = held[near]
-                other = label[near] != label[i]
-                for j, d in zip(near[other].tolist(), apart[other].tolist()):
-                    a, b = min(int(cls[i]), int(cls[j])), max(int(cls[i]), int(cls[j]))
-                    if (a, b) not in tested:
-                        found.append((d / int(n[i] + n[j]), a, b, int(label[i]), int(label[j])))
+        for x, y, apart in near_pairs(measure, n, folded(block.column("vec").to_pylist()), block.column("asks").to_numpy()):
+            other = label[x] != label[y]
+            x, y = x[other], y[other]
+            low, high = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+            found += zip((apart[other] / (n[x] + n[y])).tolist(), low.tolist(), high.tolist(), label[x].tolist(), label[y].tolist())
+        if every:
+            return [f[1:3] for f in found]
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -314,17 +330,34 @@ def candidates(measure: Measure, members: DataFrame, refuted: DataFrame, every:
 
         pairs = []
         for _, a, b, la, lb in sorted(found):
-            if every:
-                pairs.append((a, b))
-            elif (ra := root(la)) != (rb := root(lb)):
+            if (ra := root(la)) != (rb := root(lb)):
                 parent[ra] = rb
                 pairs.append((a, b))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        return pairs
+
+    def search(batches):
+        """Rows come sorted by block; the last block of a batch may go on in the next."""
+        kept: list[pa.RecordBatch] = []
+        block_of = None
 
-    keys = ["sig", "held", "asked"]
-    names = ["near_sig", "near_held", "near_asked"]
-    near = members.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("cls").alias("a")).distinct().join(refuted, "a").select(*names, "a", "b")
-    return members.groupBy(*keys).cogroup(near.groupBy(*names)).applyInArrow(search, out).distinct()
+        def ended():
+            pairs = chosen(pa.Table.from_batches(kept))
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("sig", "held", "asked")], axis=1)
+            starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1) if len(keys) else []
+            for at, to in zip(starts, [*starts[1:], len(keys)]):
+                if kept and tuple(keys[at]) != block_of:
+                    yield ended()
+                    kept.clear()
+                kept.append(batch.slice(at, to - at))
+                block_of = tuple(keys[at])
+        if kept:
+            yield ended()
+
+    dealt = members.select(*names).repartition(C.parallelism(spark), "sig", "held", "asked").sortWithinPartitions("sig", "held", "asked")
+    return dealt.mapInArrow(search, "a long, b long").distinct().join(refuted, ["a", "b"], "left_anti")
 
 
 def blocks(members: DataFrame) -> DataFrame:
