@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from larkspur.llm import common as C
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A host with over 1 / HEAVY of the pages (there are fewer than HEAVY such) is dealt into SALTS parts for the last join.
+HEAVY, SALTS = 1000, 64
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -75,7 +77,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"))
     of_host = judged.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked"))
-    of_host = of_host.where("host <> ''").select("host", (F.col("allowed") / F.col("n")).alias("trusted"), (F.col("blocked") / F.col("n")).alias("blamed")).checkpoint()
+    of_host = of_host.where("host <> ''").select("host", "n", (F.col("allowed") / F.col("n")).alias("trusted"), (F.col("blocked") / F.col("n")).alias("blamed")).checkpoint()
 
     links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.transform(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)), lambda h: F.translate(h, UPPER, LOWER))).alias("dst"))
     links = links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")).checkpoint()
@@ -87,8 +89,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     mass = propagate(edges, seeds, damping, tolerance, rounds)
     by_host = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
     open_ = (1 - F.col("trusted") - F.col("blamed")) * (1 - damping) / 2
-    scores = of_host.join(by_host, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), open_.alias("open"))
-    scores = scores.select("host", "trust", "distrust", ((F.col("distrust") > 0) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust") + F.col("open")))).alias("bad"))
-    joined = judged.join(scores, "host", "left")
+    scores = of_host.join(by_host, "host", "left").select("host", "n", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), open_.alias("open"))
+    scores = scores.select("host", "n", "trust", "distrust", ((F.col("distrust") > 0) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust") + F.col("open")))).alias("bad"))
+    heavy = F.col("n") * HEAVY > F.lit(of_host.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    hot = F.broadcast(of_host.where(heavy).select("host", F.lit(True).alias("hot")))
+    parts = F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("part")
+    part = F.when(F.col("hot") | (F.col("host") == ""), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = judged.join(hot, "host", "left").withColumn("part", part)
+    joined = dealt.join(scores.select("host", parts, "trust", "distrust", "bad"), ["host", "part"], "left")
     method = F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
