@@ -10,8 +10,8 @@ contexts. Levels lie in the shared folder and are memory-mapped by scoring
 workers, which hold no more of them than the pages they touch. The levels must
 therefore be on a folder mounted on all hosts (a ``file:`` spark.checkpoint.dir).
 
-Probabilities interpolate absolute discounting down to add-one words; triples
-seen less than ``min_triples`` times give their mass to the pair.
+Probabilities interpolate absolute discounting down to add-one words; every
+counted triple is in the trie unless a larger ``min_triples`` is asked for.
 """
 
 from __future__ import annotations
@@ -188,16 +188,15 @@ class Model:
     def shard_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (K.mix((a.astype(np.uint64) << np.uint64(32)) ^ b.astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Word numbers of hashes, -1 for words not in training."""
-        distinct, which = np.unique(h, return_inverse=True)
+    def ids(self, distinct: np.ndarray) -> np.ndarray:
+        """Word numbers of sorted distinct hashes, in their order; -1 for words not in training."""
         out = np.full(len(distinct), -1)
         ends = np.searchsorted(self.range_of(distinct), np.arange(len(self.base) + 1))
         for r, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
             if b > a:
                 at = sequence(self.folder, f"words-{r}.h").find(distinct[a:b])
                 out[a:b] = np.where(at >= 0, at + self.base[r], -1)
-        return out[which]
+        return out
 
     def per_word(self, name: str, ids: np.ndarray) -> np.ndarray:
         """A stored array's value for each word number (0 for -1)."""
@@ -220,7 +219,7 @@ def _send(schema_shard: np.ndarray, arrays: list[np.ndarray], shards: int):
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
 
-def train(docs: DataFrame, text_col: str = "text", discount: float = 0.75, min_triples: int = 2) -> Model:
+def train(docs: DataFrame, text_col: str = "text", discount: float = 0.75, min_triples: int = 1) -> Model:
     """Count and build the trie from all texts of docs; a null text is an empty one, an end alone."""
     spark = C.prepare(docs.sparkSession)
     path = C.scratch_path(spark, "trie")
@@ -261,14 +260,14 @@ def train(docs: DataFrame, text_col: str = "text", discount: float = 0.75, min_t
             h, size = tokens(batch.column(0))
             if not len(h):
                 continue
-            ids = model.ids(h)
+            distinct, local = np.unique(h, return_inverse=True)
+            known = np.append(model.ids(distinct), [bos, pad])  # ascending, as word numbers follow hashes
             ends = np.cumsum(size)
-            before = np.append(bos, ids[:-1])
-            before[ends[:-1]] = bos
-            after = np.append(ids[1:], pad)
-            after[ends - 1] = pad
-            known, local = np.unique(np.concatenate([before, ids, after]), return_inverse=True)
-            a, b, c = np.split(local.astype(np.uint64), 3)
+            before = np.append(len(distinct), local[:-1])
+            before[ends[:-1]] = len(distinct)
+            after = np.append(local[1:], len(distinct) + 1)
+            after[ends - 1] = len(distinct) + 1
+            a, b, c = (x.astype(np.uint64) for x in (before, local, after))
             width = np.uint64(max(1, int(len(known) - 1).bit_length()))
             if 3 * int(width) <= 64:
                 key, n = np.unique((((a << width) | b) << width) | c, return_counts=True)
@@ -332,16 +331,20 @@ def train(docs: DataFrame, text_col: str = "text", discount: float = 0.75, min_t
 
 def token_scores(model: Model, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """→ the model's probability of every token, its add-one probability, whether it is known."""
-    ids = model.ids(h)
+    distinct, word = np.unique(h, return_inverse=True)
+    numbers = model.ids(distinct)
+    counts, kinds_of = model.per_word("count", numbers), model.per_word("kinds", numbers)
+    ids = numbers[word]
     known = ids >= 0
-    p1 = (model.per_word("count", ids) + 1) / (model.n_tokens + model.vocabulary + 1)
+    p1 = (counts[word] + 1) / (model.n_tokens + model.vocabulary + 1)
     starts = np.cumsum(size) - size
     bos, span = model.vocabulary, np.uint64(model.span)
     before = np.append(bos, ids[:-1])
     before[starts] = bos
     seen = before >= 0
-    count = np.where(before == bos, model.n_texts, model.per_word("count", np.where(before == bos, -1, before)))
-    kinds = model.per_word("kinds", before)
+    last = np.append(0, word[:-1])
+    count = np.where(before == bos, model.n_texts, counts[last])
+    kinds = np.where(before == bos, model.per_word("kinds", np.array([bos])), kinds_of[last])
     both = np.flatnonzero(seen & known)
     pair, which = np.unique(before[both].astype(np.uint64) * span + ids[both].astype(np.uint64), return_inverse=True)
     shard = model.shard_of(pair // span, pair % span)

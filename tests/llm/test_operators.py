@@ -127,6 +127,16 @@ def test_language_model(spark, docs):
     assert (ef.find(values) == np.arange(len(values))).all() and (ef.find(values + np.uint64(1))[:-1] == np.where(np.diff(values) == 1, np.arange(1, len(values)), -1)).all()
 
 
+def test_language_model_holds_triples_seen_once(spark):
+    texts = [(0, "a b c"), (1, "x b d"), (2, "x y b d")]
+    model = language_model.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    held = sum(len(language_model.sequence(model.folder, f"runs-{s}.triple").low) for s in range(model.shards))
+    assert held == len({t for _, s in texts for w in [["<", *s.split(), ">"]] for t in zip(w, w[1:], w[2:])})
+    pruned = language_model.train(spark.createDataFrame(texts, "doc_id long, text string"), min_triples=2)
+    once = spark.createDataFrame([(0, "a b c")], "doc_id long, text string")
+    assert language_model.score(once, model).first()["score"] > language_model.score(once, pruned).first()["score"]
+
+
 def test_quality(spark):
     from larkspur.llm import quality
 
