@@ -3,7 +3,10 @@
 Hosts are linked by the absolute links of their pages. Trust is a personalised
 PageRank from hosts with pages that a rule allows; distrust is the same on
 reversed links from hosts with pages that a rule blocks, so that it reaches who
-links to them. Only DataFrame functions are used.
+links to them. Such masses are divided among all who link to a host, so that
+verdicts rest on shares instead: how much of what links to a host is trusted,
+and how much of its own links leads, directly or onwards, to blocked pages.
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -42,8 +45,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, rounds: int) -> DataFrame:
     """(kind, host, mass): (1 - damping) * seed + damping * what links bring, for each kind of mass apart.
 
-    edges: kind, src, dst, share (the shares of a src sum to 1); seeds: kind,
-    host, seed. Mass that reaches a host without links ends there. Rounds end
+    edges: kind, src, dst, share (the shares of a src sum to 1 where mass is
+    divided, those of a dst where it is averaged); seeds: kind, host, seed.
+    Mass that reaches a host without links ends there. Rounds end
     when the masses change by less than tolerance in sum.
     """
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("base"))
@@ -66,9 +70,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
 
     A url without ``://``, or null, has an empty host and path. A host's seeds
     are the shares of its pages that rules allow and block. A page no rule fits
-    is blocked if its host's distrust is over threshold of the host's trust,
-    distrust and half the seed of its pages without a rule together; a host without any
-    mass is allowed. Null pages have no links; null and repeated ids keep their
+    is blocked if the share of its host's links that leads to blocked pages is
+    over threshold of that share, the trusted share of the links that reach the
+    host, and half the seed of its pages without a rule together; a host none of
+    whose links leads there is allowed. How many others link alike does not count. Null pages have no links; null and repeated ids keep their
     rows; an empty table gives no row.
     """
     spark = C.prepare(pages.sparkSession)
@@ -84,13 +89,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     leaving, reaching = links.groupBy("src").agg(F.sum("n").alias("all")), links.groupBy("dst").agg(F.sum("n").alias("all"))
     forth = links.join(leaving, "src").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("all")).alias("share"))
     back = links.join(reaching, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("share"))
-    edges = forth.unionByName(back).checkpoint()
-    seeds = of_host.select(F.lit("trust").alias("kind"), "host", F.col("trusted").alias("seed")).unionByName(of_host.select(F.lit("distrust").alias("kind"), "host", F.col("blamed").alias("seed"))).where("seed > 0")
+    vouched = links.join(reaching, "dst").select(F.lit("vouched").alias("kind"), "src", "dst", (F.col("n") / F.col("all")).alias("share"))
+    leads = links.join(leaving, "src").select(F.lit("leads").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("share"))
+    edges = forth.unionByName(back).unionByName(vouched).unionByName(leads).checkpoint()
+    seed = lambda column, *kinds: of_host.select(F.explode(F.array(*map(F.lit, kinds))).alias("kind"), "host", F.col(column).alias("seed"))
+    seeds = seed("trusted", "trust", "vouched").unionByName(seed("blamed", "distrust", "leads")).where("seed > 0")
     mass = propagate(edges, seeds, damping, tolerance, rounds)
-    by_host = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
+    kinds = ["trust", "distrust", "vouched", "leads"]
+    by_host = mass.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind) for kind in kinds))
     open_ = (1 - F.col("trusted") - F.col("blamed")) * (1 - damping) / 2
-    scores = of_host.join(by_host, "host", "left").select("host", "n", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), open_.alias("open"))
-    scores = scores.select("host", "n", "trust", "distrust", ((F.col("distrust") > 0) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust") + F.col("open")))).alias("bad"))
+    scores = of_host.join(by_host, "host", "left").select("host", "n", *(F.coalesce(kind, F.lit(0.0)).alias(kind) for kind in kinds), open_.alias("open"))
+    scores = scores.select("host", "n", "trust", "distrust", ((F.col("leads") > 0) & (F.col("leads") > threshold * (F.col("vouched") + F.col("leads") + F.col("open")))).alias("bad"))
     heavy = F.col("n") * HEAVY > F.lit(of_host.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     hot = F.broadcast(of_host.where(heavy).select("host", F.lit(True).alias("hot")))
     parts = F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("part")

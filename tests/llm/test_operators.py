@@ -189,3 +189,15 @@ def test_words_kernel():
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 100])
+def test_url_trust_does_not_count_linkers(spark, linkers):
+    from larkspur.llm.queries import RULES
+    from larkspur.llm.url_trust import judge
+
+    link = lambda h: f'<a href="http://{h}/x">'
+    pages = [(-1, "http://bad.net/es/", None), (-2, "http://mixed.org/", link("bad.net") + link("a.org") * 9), (-3, "http://a.com/", "".join(link(f"ok{i}.org") for i in range(linkers)))]
+    pages += [(i, f"http://spam{i}.org/", link("bad.net")) for i in range(linkers)] + [(1000 + i, f"http://ok{i}.org/", link("bad.net") + link("a.org")) for i in range(linkers)]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert all(got[i] == "block" and got[1000 + i] == "allow" for i in range(linkers)) and got[-2] == "allow"
