@@ -107,6 +107,17 @@ def topk_multi_query(spark, d):
     return rounded(S.find_similar_many(v, queries, exclude_self=True))
 
 
+@query(
+    "WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.qid::VARCHAR AS query_id, e.vec_id::VARCHAR AS identifier, "
+    + COS
+    + " AS score FROM embeddings e JOIN q ON e.vec_id <> q.qid), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, identifier)::INT AS rank FROM s) SELECT query_id, identifier, round(score, 6) AS score, rank FROM r WHERE rank <= 5"
+)
+def topk_multi_query_every_50th(spark, d):
+    v = vectors(spark, d)
+    queries = v.where(F.col("identifier").cast("long") % 50 == 0).select(F.col("identifier").alias("query_id"), F.col("vector").alias("query"))
+    return rounded(S.find_similar_many(v, queries, exclude_self=True))
+
+
 @query(SCORED + ", c AS (SELECT (vec_id % 50)::VARCHAR AS identifier, max(score) AS score FROM s GROUP BY ALL) SELECT identifier, round(score, 6) AS score, row_number() OVER (ORDER BY c.score DESC, identifier)::INT AS rank FROM c ORDER BY c.score DESC, identifier LIMIT 5")
 def topk_collapse(spark, d):
     n = F.col("identifier").cast("long")

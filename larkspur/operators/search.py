@@ -13,6 +13,9 @@ from larkspur.functions import metadata as M
 from larkspur.functions import vector as V
 from larkspur.functions.text import parent_of
 
+#: Queries that meet a part of the rows at once.
+QUERY_BLOCK = 1000
+
 
 def _top(k: int) -> int:
     if k < 0:
@@ -43,8 +46,14 @@ def find_similar(store: DataFrame, query: list[float], top_k: int = 5, filters:
 
 
 def find_similar_many(store: DataFrame, queries: DataFrame, top_k: int = 5, collapse_chunks: bool = False, exclude_self: bool = False) -> DataFrame:
-    """The same for a set of queries (query_id, query), a small frame met by every row of the same dimension."""
-    pairs = store.join(queries, F.size("vector") == F.size("query"))
+    """The same for a set of queries (query_id, query) of any size: blocks of QUERY_BLOCK meet parts of the rows of the same dimension."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = store.sparkSession.sparkContext.defaultParallelism
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = store.select("identifier", "vector", dealt("identifier", parts).alias("_part"), each(blocks).alias("_block"))
+    asked = queries.select("query_id", "query", dealt("query_id", blocks).alias("_block"), each(parts).alias("_part"))
+    pairs = rows.join(asked, ["_part", "_block"]).where(F.size("vector") == F.size("query"))
     if exclude_self:
         pairs = pairs.where(F.col("identifier") != F.col("query_id"))
     hits = pairs.select("query_id", "identifier", V.cosine(F.col("vector"), F.col("query"), strict=False).alias("score"))
