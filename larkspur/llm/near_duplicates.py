@@ -71,7 +71,8 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     size = K.counts_per_text(text, n)
     rolled = np.zeros(len(h), np.uint64)
     for j in range(k):
-        rolled[: len(h) - j] = K.mix(rolled[: len(h) - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:] + np.uint64(j))
+        m = max(0, len(h) - j)
+        rolled[:m] = K.mix(rolled[:m] * np.uint64(0x9E3779B97F4A7C15) + h[j:] + np.uint64(j))
     ends = np.cumsum(size)
     whole = np.arange(len(h)) + k <= ends[text] if len(h) else np.zeros(0, bool)
     out_text, out_hash = [text[whole]], [rolled[whole]]

@@ -201,3 +201,17 @@ def test_url_trust_does_not_count_linkers(spark, linkers):
     pages += [(i, f"http://spam{i}.org/", link("bad.net")) for i in range(linkers)] + [(1000 + i, f"http://ok{i}.org/", link("bad.net") + link("a.org")) for i in range(linkers)]
     got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
     assert all(got[i] == "block" and got[1000 + i] == "allow" for i in range(linkers)) and got[-2] == "allow"
+
+
+def test_components_of_lone_short_texts(spark):
+    from larkspur.llm.near_duplicates import components
+
+    rows = [(n, " ".join(f"{n}{c}" for c in "abcdef"[:n])) for n in range(6)]  # each in its own partition
+    got = components(spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string"), k=5, num=80).collect()
+    assert sorted(map(tuple, got)) == [(n, min(n, 1), n) for n in range(6)]
+
+
+def test_shingles_of_few_words():
+    from larkspur.llm.near_duplicates import shingles
+
+    assert [shingles(pa.array([None, " ".join("abcdef"[:n]), ""]), 5)[1].tolist() for n in range(7)] == [[0, min(1, n) + (n == 6), 0] for n in range(7)]
