@@ -123,7 +123,7 @@ def folded(vectors: list[bytes]) -> np.ndarray:
 
 
 def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) -> DataFrame:
-    """Stored rows of two kinds: 0 a text (cls names its set), 1 a member of an entry that several sets share."""
+    """Stored rows of two kinds: 0 a text (cls names its set, pivot its text), 1 a member of an entry that several sets share."""
     spark = C.prepare(docs.sparkSession)
 
     def sign(batches):
@@ -134,7 +134,7 @@ def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) ->
             n = len(ids)
             ends = np.cumsum(size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), pa.array(K.mix(np.arange(n).astype(np.uint64) ^ names.view(np.uint64)).view(np.int64)), pa.array(names), pa.array(names), pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(vec, pa.binary())],
+                [pa.array(np.zeros(n, np.int32)), pa.array(K.mix(np.arange(n).astype(np.uint64) ^ names.view(np.uint64)).view(np.int64)), pa.array(names), batch.column(2), pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(vec, pa.binary())],
                 names=["kind", "sig", "cls", "pivot", "id", "n", "vec"],
             )
             total = np.zeros(len(h) + 1, np.uint64)
@@ -199,7 +199,7 @@ def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) ->
             if k:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(s), pa.array(c), pa.array(p), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=["kind", "sig", "cls", "pivot", "id", "n", "vec"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     dealt = chosen.mapInArrow(sign, ROWS).repartition(C.parallelism(spark), "sig").sortWithinPartitions("sig", "cls")
     return C.stored(dealt.mapInArrow(members, ROWS), "directory")
 
@@ -229,7 +229,8 @@ def verify(measure: Measure, pairs: DataFrame, reps: DataFrame, docs: DataFrame,
     wanted = C.stored(wanted, "wanted")
     if wanted.count() <= 500_000:  # 16 bytes each
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep").select("cls", "text")
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))  # a row without an id goes by its text
+    texts = docs.select(key.alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep").select("cls", "text")
 
     def sets(batches):
         for batch in batches:
@@ -385,7 +386,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     measure = Measure(k, num, den)
     rows = directory(docs, measure, id_col, text_col)
     texts = rows.where("kind = 0").select("id", "n", "cls")
-    reps = C.stored(rows.where("kind = 0 and n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("vec").alias("vec")), "sets")
+    reps = C.stored(rows.where("kind = 0 and n > 0").groupBy("cls").agg(F.coalesce(F.min("id"), F.min("pivot")).alias("rep"), F.max("n").alias("n"), F.first("vec").alias("vec")), "sets")
     members = rows.where("kind = 1").select("sig", "cls", "pivot")
     shared = members.where("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("k"))
     star = shared.groupBy("cls").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot")).select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()

@@ -215,3 +215,12 @@ def test_shingles_of_few_words():
     from larkspur.llm.near_duplicates import shingles
 
     assert [shingles(pa.array([None, " ".join("abcdef"[:n]), ""]), 5)[1].tolist() for n in range(7)] == [[0, min(1, n) + (n == 6), 0] for n in range(7)]
+
+
+def test_components_link_near_copies_without_ids(spark):
+    from larkspur.llm.near_duplicates import components
+
+    words = [[f"{g}{i}" for i in range(200)] for g in "pqr"]
+    texts = [(1, words[0]), (None, words[0][1:]), (None, words[1]), (None, words[1][1:]), (5, words[2][1:]), (None, words[2]), (6, words[2][:-1])]
+    got = components(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 198, 1), (None, 197, 1), (None, 198, None), (None, 197, None), (5, 197, 5), (None, 198, 5), (6, 197, 5)], key=str)
