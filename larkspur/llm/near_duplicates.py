@@ -404,8 +404,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         once = split.groupBy("k", "who").agg(F.min("sig").alias("sig")).select("sig")  # entries with the same members need one tree
         open_ = blocks(named.join(once, "sig")).join(reps.select("cls", "n", "vec"), "cls")
         pairs = C.stored(candidates(measure, open_, refuted, every), "pairs")
+        none = pairs.limit(1).count() == 0
+        if none and not every:  # all of the forest may have been refuted before
+            pairs = C.stored(candidates(measure, open_, refuted, True), "pairs")
+            none = pairs.limit(1).count() == 0
         every = True
-        if pairs.limit(1).count() == 0:
+        if none:
             break
     named = texts.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("label"))
     smallest = named.where("n > 0").groupBy("label").agg(F.min("id").alias("smallest"))

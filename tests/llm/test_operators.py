@@ -224,3 +224,28 @@ def test_components_link_near_copies_without_ids(spark):
     texts = [(1, words[0]), (None, words[0][1:]), (None, words[1]), (None, words[1][1:]), (5, words[2][1:]), (None, words[2]), (6, words[2][:-1])]
     got = components(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 198, 1), (None, 197, 1), (None, 198, None), (None, 197, None), (5, 197, 5), (None, 198, 5), (6, 197, 5)], key=str)
+
+
+def test_components_test_what_a_refuted_forest_hides(spark):
+    """b and c are linked; a, their pivot in every entry they share, is nearer to both by counts but linked with neither."""
+    from larkspur.llm import near_duplicates as N
+
+    measure = N.Measure(1, 90, 100)
+    m, _ = measure.ranges(measure.size_class(200))
+    words = np.array([f"w{i}" for i in range(200_000)])
+    h = N.shingles(pa.array(words.tolist()), 1)[0]
+    group, first = (kernels.mix(h) >> np.uint64(56)).tolist(), h < np.uint64(2**64 // m)
+    alike = {}
+    for i in np.flatnonzero(first).tolist():
+        alike.setdefault(group[i], []).append(i)
+    pools = [p for p in alike.values() if len(p) >= 4][:12]
+    assert len(pools) == 12
+    rest = np.flatnonzero(~first)[:188].tolist()
+    b = [p[0] for p in pools] + rest
+    c = b[1:]
+    text = lambda rows: " ".join(words[rows])
+    name = lambda rows: N.set_names(*N.shingles(pa.array([text(rows)]), 1))[0]
+    others = [[b[0], *(p[1 + (k >> j) % 2] for j, p in enumerate(pools[1:])), *rest] for k in range(64)]
+    a = next(x for x in others if name(x) < min(name(b), name(c)))
+    docs = spark.createDataFrame([(1, text(a)), (2, text(b)), (3, text(c))], "doc_id long, text string")
+    assert sorted(map(tuple, N.components(docs, k=1).collect())) == [(1, 200, 1), (2, 200, 2), (3, 199, 2)]
