@@ -107,6 +107,12 @@ def smallest(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return rows[np.lexsort((ids[rows], score[rows]))[:k]]
 
 
+def best_rows(score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The place of each id's smallest score."""
+    order = np.lexsort((score, ids))
+    return order[np.append(True, ids[order][1:] != ids[order][:-1])]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Rows with an id and a vector that is neither null, zero, nor holds null or non-finite components."""
     v = F.col(vector_col).cast("array<double>")
@@ -156,7 +162,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     vectors; ties go to the smaller id. Vectors that are null, zero, or hold
     null or non-finite components take no part, nor do null ids, nor vectors
     whose length is not the most common one. Rows that share the query's id are
-    its own and no candidates. An empty table gives no row; fewer than k
+    its own and no candidates; they are asked as one query, and a repeated
+    candidate counts once, each by the smallest score among its rows. An empty table gives no row; fewer than k
     candidates are all returned.
     """
     spark = C.prepare(vectors.sparkSession)
@@ -206,19 +213,22 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         if len(members) and len(asked):
             ids, points = members.column("id").to_numpy(), matrix(members.column("v").combine_chunks(), dim)
             queries = matrix(asked.column("v").combine_chunks(), dim)
+            repeated = len(np.unique(ids)) < len(ids)
             for q, v in zip(asked.column("query_id").to_pylist(), queries):
                 score = distances(points, v)
                 score[ids == q] = np.inf
-                at = smallest(score, ids, k)
-                at = at[ids[at] != q]
+                kept = best_rows(score, ids) if repeated else slice(None)
+                s, i = score[kept], ids[kept]
+                at = smallest(s, i, k)
+                at = at[i[at] != q]
                 out_q.append(np.full(len(at), q))
-                out_id.append(ids[at])
-                out_score.append(score[at])
+                out_id.append(i[at])
+                out_score.append(s[at])
         join = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]))
         return pa.table({"query_id": join(out_q, np.int64), "id": join(out_id, np.int64), "score": join(out_score, np.float64)})
 
     members = dealt.mapInArrow(block, f"id long, v {kind}, leaf long, block long")
     asked = dealt.where(F.col("id") % every == 0).mapInArrow(walk, f"query_id long, v {kind}, qleaf long, qblock long")
     found = members.groupBy("leaf", "block").cogroup(asked.groupBy("qleaf", "qblock")).applyInArrow(scan, "query_id long, id long, score double")
-    found = top(found, k)
+    found = top(found.groupBy("query_id", "id").agg(F.min("score").alias("score")), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -249,3 +249,11 @@ def test_components_test_what_a_refuted_forest_hides(spark):
     a = next(x for x in others if name(x) < min(name(b), name(c)))
     docs = spark.createDataFrame([(1, text(a)), (2, text(b)), (3, text(c))], "doc_id long, text string")
     assert sorted(map(tuple, N.components(docs, k=1).collect())) == [(1, 200, 1), (2, 200, 2), (3, 199, 2)]
+
+
+def test_nearest_of_repeated_rows(spark):
+    from larkspur.llm.nearest import search
+
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(100, [0.0, 1.0])] * 3 + [(1, [1.0, 1.0])] * 12
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(100, i, i, float(i)) for i in range(1, 11)]
