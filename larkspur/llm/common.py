@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = "2000"
-ARROW_BYTES = str(16 << 20)
+ARROW_BYTES = str(4 << 20)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -20,11 +21,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """Folder that driver and executors share: spark.checkpoint.dir; one of our own only where driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,6 +48,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a 64-bit key of each row's file and place in it, the same on every read, and the key's name.
+
+    A frame that isn't read from files is stored first. Of 10^10 rows about
+    three pairs may share a key.
+    """
+    name = free_name(docs, "_row")
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(name)
+    try:
+        return docs.select("*", place), name
+    except AnalysisException:
+        return stored(docs, "rows").select("*", place), name
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -2,7 +2,9 @@
 
 Words are hashed straight from the UTF-8 buffer: a prefix sum of
 ``byte * R**position`` gives each word's polynomial value modulo 2**64, which a
-finaliser mixes together with the word's length.
+finaliser mixes together with the word's length. Polynomials modulo 2**64 are
+weak for runs of a thousand bytes and more (some collide whatever R is), so
+words over LONG_WORD bytes are hashed by XXH3 instead.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 17
+LONG_WORD = 256
 _R = 0x9E3779B97F4A7C15
 _INVERSE = pow(_R, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
@@ -117,7 +121,20 @@ def words(offsets: np.ndarray, data: np.ndarray, keep: np.ndarray, cuts=None):
         return none, none, none, np.zeros(0, np.uint64)
     start = np.concatenate(starts)
     docs = np.searchsorted(offsets, start, side="right") - 1
-    return docs, start, np.concatenate(ends), np.concatenate(hashes)
+    end, h = np.concatenate(ends), np.concatenate(hashes)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(LOWER[data[start[i] : end[i]]].tobytes())
+    return docs, start, end, h
+
+
+def slices(column: pa.Array, most: int):
+    """(first text, texts) of runs of whole texts of at most so many bytes; a longer text is a run by itself."""
+    offsets, _ = utf8(column)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
+        yield lo, hi - lo
+        lo = hi
 
 
 def counts_per_text(docs: np.ndarray, n: int) -> np.ndarray:

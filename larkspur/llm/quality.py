@@ -23,6 +23,10 @@ BITS = 18
 MAX_TRAINING = 6000
 #: and from so much of all their texts at most, in bytes: longer texts go to the end of the sample.
 MAX_TRAINING_BYTES = 64 << 20
+#: A text over this many bytes is not learned from (it is scored like any other).
+MAX_TRAINING_TEXT = 1 << 20
+#: Tokens counted at a time, and bytes of whole texts featured at a time.
+CHUNK, RUN_BYTES = 1 << 16, 1 << 19
 
 _KIND = np.where(K.LETTER_BYTE | (K._bytes >= 128), 1, np.where(K.DIGIT_BYTE, 2, np.where(K.SPACED, 3, 0))).astype(np.uint8)
 
@@ -34,16 +38,10 @@ def _kind_change(piece: np.ndarray) -> np.ndarray:
     return cut
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """→ text number, hashed feature, value: sorted, one entry per feature of a text."""
-    offsets, data = K.utf8(column)
-    text, start, end, h = K.words(offsets, data, K.SPACED, _kind_change)
-    n = len(offsets) - 1
-    if not len(text):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    upper = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(K.UPPER_BYTE[data], out=upper[1:])
-    capitals, size = upper[end] - upper[start], end - start
+def _counted(data: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (text, feature) keys of a run of tokens and their counts; the first skip tokens only stand before the others."""
+    size = end - start
+    capitals = np.add.reduceat(K.UPPER_BYTE[data[start[0] : end[-1]]].view(np.uint8), start - start[0], dtype=np.int32)
     case = np.where(capitals == 0, 0, np.where((capitals == size) & (size > 1), 3, np.where(K.UPPER_BYTE[data[start]], 1, 2)))
     follows = np.zeros(len(text), bool)
     follows[1:] = text[1:] == text[:-1]
@@ -56,17 +54,48 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     form = ((((sign * 4 + kind) * 4 + case) * 8 + np.minimum(7, np.log2(size).astype(np.int64))) * 2 + repeats) * 2 + apart
     form = K.mix(form.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     word = h ^ (case.astype(np.uint64) << np.uint64(7))
-    two = follows.copy()
     three = np.zeros(len(text), bool)
     three[2:] = follows[2:] & follows[1:-1]
     before, form1, form2 = np.roll(word, 1), np.roll(form, 1), np.roll(form, 2)
     odd = np.uint64(0x2545F4914F6CDD1D)
-    every = [(text, K.mix(word)), (text[two], K.mix(before * odd + word)[two]), (text, K.mix(form + odd)), (text[two], K.mix((form1 * odd + form) * odd)[two]), (text[three], K.mix(((form2 * odd + form1) * odd + form) * odd + odd)[three])]
-    keys = np.concatenate([(t.astype(np.int64) << BITS) | (f >> np.uint64(64 - BITS)).astype(np.int64) for t, f in every])
-    keys, count = np.unique(keys, return_counts=True)
+    asked = np.arange(len(text)) >= skip
+    wide = np.int32 if (int(text[-1]) + 1) << BITS < 1 << 31 else np.int64
+    owner = text.astype(wide) << wide(BITS)
+
+    def keys(chosen: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        return owner[chosen] | (K.mix(hashed[chosen]) >> np.uint64(64 - BITS)).astype(wide)
+
+    found = np.concatenate([keys(asked, word), keys(asked & follows, before * odd + word), keys(asked, form + odd), keys(asked & follows, (form1 * odd + form) * odd), keys(asked & three, ((form2 * odd + form1) * odd + form) * odd + odd)])
+    found.sort()
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+    return found[first].astype(np.int64), np.diff(np.append(first, len(found)))
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """→ text number, hashed feature, value: sorted, one entry per feature of a text.
+
+    Tokens are counted CHUNK at a time, so that beside the text itself and its
+    distinct features little memory is taken, whatever the text's length.
+    """
+    offsets, data = K.utf8(column)
+    text, start, end, h = K.words(offsets, data, K.SPACED, _kind_change)
+    n = len(offsets) - 1
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    keys, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = [(keys, count)]
+    for lo in range(0, len(text), CHUNK):
+        a, b = max(0, lo - 3), min(len(text), lo + CHUNK)
+        parts.append(_counted(data, text[a:b], start[a:b], end[a:b], h[a:b], lo - a))
+        if len(parts) > 16 or b == len(text):
+            keys, count = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(keys, kind="stable")
+            keys, count = keys[order], count[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            parts = [(keys[first], np.add.reduceat(count, first))]
+    keys, count = parts[0]
     owner, feature = keys >> BITS, keys & ((1 << BITS) - 1)
-    total = K.counts_per_text(text, n)[owner]
-    value = np.sqrt(count / total)
+    value = np.sqrt(count / K.counts_per_text(text, n)[owner])
     norm = np.sqrt(np.bincount(owner, value * value, minlength=n))
     return owner, feature, value / norm[owner] * 3
 
@@ -104,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     usable = usable.where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2).groupBy("id").agg(F.min("label").alias("label"))
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # bounded: may be broadcast
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAINING_TEXT).join(F.broadcast(sample), "id")
 
     def fit(batches):
         rows, used = [], 0
@@ -113,10 +142,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             used += batch.nbytes
             if room <= 0:
                 continue
-            owner, feature, value = features(batch.column(1))
-            ends = np.searchsorted(owner, np.arange(len(batch) + 1))
-            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows += [(ids[i], marks[i], feature[a:b].astype(np.int32), value[a:b].astype(np.float32)) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+            for at, length in K.slices(batch.column(1), RUN_BYTES):
+                run = batch.slice(at, length)
+                owner, feature, value = features(run.column(1))
+                ends = np.searchsorted(owner, np.arange(length + 1))
+                ids, marks = run.column(0).to_pylist(), run.column(2).to_pylist()
+                rows += [(ids[i], marks[i], feature[a:b].astype(np.int32), value[a:b].astype(np.float32)) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
         model = Ftrl()
         rng = np.random.default_rng(11)
         rows.sort(key=lambda r: (r[0], len(r[2])))
@@ -145,8 +176,11 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", keep: li
     def run(batches):
         w = shared.value
         for batch in batches:
-            owner, feature, value = features(batch.column(at))
-            dot = np.bincount(owner, w[feature] * value, minlength=len(batch))[: len(batch)] if len(owner) else np.zeros(len(batch))
+            dot = np.zeros(len(batch))
+            for first, length in K.slices(batch.column(at), RUN_BYTES):
+                owner, feature, value = features(batch.column(at).slice(first, length))
+                if len(owner):
+                    dot[first : first + length] = np.bincount(owner, w[feature] * value, minlength=length)
             p = 1 / (1 + np.exp(-np.clip(dot + w[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p)], names=[*batch.schema.names[: len(keep)], name])
 
