@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that the stage
 before it kept, and returns the columns of documents; the last returns packed
-pieces. Rows with a null doc_id are judged by quality alone. Rows that share a
-doc_id stay or go together.
+pieces. Rows are judged one by one, by a key of their place: rows with a null
+doc_id, and rows that share one, stay or go by their own texts.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from larkspur.llm.packing import pack
 from larkspur.llm.quality import score, train
 
 ACCEPT = 0.7
-#: Ids of dropped documents are broadcast up to this many (8 MB); beyond, the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Keys of dropped rows are broadcast up to this many (8 MB); beyond, the join is shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped."""
-    ids = C.stored(dropped.select(F.col("doc_id").cast("long").alias("_dropped")).where("_dropped is not null").distinct(), "dropped")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id") == F.col("_dropped"), "left_anti")
+def without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in dropped, and without the key."""
+    keys = C.stored(dropped.select(key), "dropped")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, key, "left_anti").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +38,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep each group's document of the smallest id: five-word shingles, similarity of 0.8 or more."""
-    found = components(docs, k=5, num=80, den=100)
-    stays = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    return without(docs, found.groupBy("doc_id").agg(stays.alias("stays")).where("not stays"))
+    """Keep each group's row of the smallest id (a null after all others): five-word shingles, similarity of 0.8 or more."""
+    rows, key = C.with_row_key(docs)
+    found = components(rows, id_col=key, k=5, num=80, den=100).select(F.col("doc_id").alias(key), "component_id")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    groups = found.join(several, "component_id").join(rows.select(key, F.col("doc_id").alias("id")), key)
+    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", key))[key].alias("best"))
+    return without(rows, key, groups.join(best, "component_id").where(F.col(key) != F.col("best")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a ten-word passage of the benchmark."""
-    found = contamination(docs, C.table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("n_hit > 0"))
+    """Drop rows that hold a ten-word passage of the benchmark."""
+    rows, key = C.with_row_key(docs)
+    found = contamination(rows, C.table(spark, sf_dir, "benchmark"), id_col=key)
+    return without(rows, key, found.where("n_hit > 0").select(F.col("doc_id").alias(key)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
