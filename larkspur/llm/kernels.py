@@ -137,6 +137,13 @@ def slices(column: pa.Array, most: int):
         lo = hi
 
 
+def runs(batches, column: int, most: int = 1 << 20):
+    """Batches cut into runs of rows whose texts take at most so many bytes, which bounds what is held beside them."""
+    for batch in batches:
+        for at, n in slices(batch.column(column), most):
+            yield batch.slice(at, n)
+
+
 def counts_per_text(docs: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(docs, minlength=n)[:n] if len(docs) else np.zeros(n, np.int64)
 

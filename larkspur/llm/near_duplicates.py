@@ -19,6 +19,8 @@ either in one component already, or fails the bound, or has been verified.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,8 +33,12 @@ from larkspur.llm import kernels as K
 #: Bits of the number of groups, at least and at most.
 DIM_BITS = (6, 12)
 LEAF = 32
+FANOUT = 8
 BLOCK = 4096
-ROWS = "kind int, sig long, cls long, pivot long, id long, n long, vec binary"
+ROWS = "kind int, sig long, cls long, pivot long, id long, n long, vec binary, twin long"
+NAMES = [c.split()[0] for c in ROWS.split(", ")]
+#: Added to the names' seed for a set's second name.
+TWIN = 0x7F4A7C15
 
 
 class Measure:
@@ -41,6 +47,7 @@ class Measure:
     def __init__(self, k: int, num: int, den: int):
         self.k, self.num, self.den = k, num, den
         self.low = [1]
+        self.cut: dict[int, tuple[int, int]] = {}
 
     def most_apart(self, total: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of a link between sets of this total size."""
@@ -57,10 +64,21 @@ class Measure:
         return [c, c - 1] if c and n * self.num <= (self.low[c] - 1) * self.den else [c]
 
     def ranges(self, c: int) -> tuple[int, int]:
-        """Ranges for pairs whose smaller set is of class c, and how many of them may be empty unseen."""
-        most = (self.low[c + 1] - 1) * (self.den - self.num) // self.num
-        spare = most // 10 + 2 if most else 0
-        return most + 1 + spare, spare
+        """Ranges for pairs whose smaller set is of class c, and how many of them may be empty unseen.
+
+        As many are spare as the smallest sets of the class leave empty by
+        chance, and two deviations: a set that leaves more shows its empty
+        ranges, which many sets share.
+        """
+        if c not in self.cut:
+            most, n = (self.low[c + 1] - 1) * (self.den - self.num) // self.num, self.low[c]
+            for spare in range(1, 8 * n + 64) if most else ():
+                m = most + 1 + spare
+                bare = math.exp(-n / m)
+                if m * bare + 2 * math.sqrt(max(0.0, m * bare * (1 - (1 + n / m) * bare))) + 1 <= spare:
+                    break
+            self.cut[c] = (most + 1 + spare, spare) if most else (1, 0)
+        return self.cut[c]
 
 
 def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,27 +92,30 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         m = max(0, len(h) - j)
         rolled[:m] = K.mix(rolled[:m] * np.uint64(0x9E3779B97F4A7C15) + h[j:] + np.uint64(j))
     ends = np.cumsum(size)
-    whole = np.arange(len(h)) + k <= ends[text] if len(h) else np.zeros(0, bool)
-    out_text, out_hash = [text[whole]], [rolled[whole]]
-    for i in np.flatnonzero((size > 0) & (size < k)).tolist():
-        value = np.uint64(len(h[ends[i] - size[i] : ends[i]]) * 0x1000193)
+    short = (size > 0) & (size < k)
+    made = np.where(short, 1, np.maximum(size - k + 1, 0))
+    stops = np.cumsum(made)
+    whole = np.flatnonzero(np.arange(len(h)) + k <= ends[text]) if len(h) else np.zeros(0, np.int64)
+    out = np.empty(int(stops[-1]) if n else 0, np.uint64)
+    out[np.arange(len(whole)) + (np.cumsum(short) - short)[text[whole]]] = rolled[whole]
+    for i in np.flatnonzero(short).tolist():
+        value = np.uint64(int(size[i]) * 0x1000193)
         for w in h[ends[i] - size[i] : ends[i]]:
             value = K.mix(np.array([value ^ w]) * np.uint64(0x9E3779B97F4A7C15))[0]
-        out_text.append(np.array([i]))
-        out_hash.append(np.array([value], np.uint64))
-    text, h = np.concatenate(out_text), np.concatenate(out_hash)
-    order = np.lexsort((h, text))
-    text, h = text[order], h[order]
-    if len(h):
-        new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))
-        text, h = text[new], h[new]
-    return h, K.counts_per_text(text, n)
-
-
-def set_names(h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """One hash a set: 0 for an empty one."""
+        out[stops[i] - 1] = value
+    for a, b in zip((stops - made).tolist(), stops.tolist()):
+        out[a:b].sort()
+    owner = np.repeat(np.arange(n), made)
+    if len(out):
+        new = np.append(True, (out[1:] != out[:-1]) | (owner[1:] != owner[:-1]))
+        out, owner = out[new], owner[new]
+    return out, K.counts_per_text(owner, n)
+
+
+def set_names(h: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One hash a set, by the seed: 0 for an empty one."""
     total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(K.mix(h * np.uint64(0xC2B2AE3D27D4EB4F)), out=total[1:])
+    np.cumsum(K.mix((h + np.uint64(seed)) * np.uint64(0xC2B2AE3D27D4EB4F)), out=total[1:])
     ends = np.cumsum(size)
     return np.where(size > 0, K.mix((total[ends] - total[ends - size]) ^ (size.astype(np.uint64) << np.uint64(3))) | np.uint64(1), np.uint64(0)).view(np.int64)
 
@@ -122,20 +143,20 @@ def folded(vectors: list[bytes]) -> np.ndarray:
     return out
 
 
-def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) -> DataFrame:
-    """Stored rows of two kinds: 0 a text (cls names its set, pivot its text), 1 a member of an entry that several sets share."""
+def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """Stored rows of two kinds: 0 a text (cls and twin name its set, pivot its text), 1 a member of an entry that several sets share."""
     spark = C.prepare(docs.sparkSession)
 
     def sign(batches):
-        for batch in batches:
+        for batch in K.runs(batches, 1):
             h, size = shingles(batch.column(1), measure.k)
-            names, vec = set_names(h, size), count_vectors(h, size)
+            names, twins, vec = set_names(h, size, seed), set_names(h, size, seed + TWIN), count_vectors(h, size)
             ids = batch.column(0).to_pylist()
             n = len(ids)
             ends = np.cumsum(size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), pa.array(K.mix(np.arange(n).astype(np.uint64) ^ names.view(np.uint64)).view(np.int64)), pa.array(names), batch.column(2), pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(vec, pa.binary())],
-                names=["kind", "sig", "cls", "pivot", "id", "n", "vec"],
+                [pa.array(np.zeros(n, np.int32)), pa.array(K.mix(np.arange(n).astype(np.uint64) ^ names.view(np.uint64)).view(np.int64)), pa.array(names), batch.column(2), pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(vec, pa.binary()), pa.array(twins)],
+                names=NAMES,
             )
             total = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(K.mix(h + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
@@ -163,7 +184,7 @@ def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) ->
                 sig, own = (np.concatenate(sigs) >> np.uint64(16)).view(np.int64), np.concatenate(owners)
                 k = len(sig)
                 none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(sig), pa.array(own), none, none, none, pa.nulls(k, pa.binary())], names=["kind", "sig", "cls", "pivot", "id", "n", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(sig), pa.array(own), none, none, none, pa.nulls(k, pa.binary()), none], names=NAMES)
 
     def members(batches):
         held = (None, None)  # the entry and set that the batch before ended with
@@ -197,7 +218,7 @@ def directory(docs: DataFrame, measure: Measure, id_col: str, text_col: str) ->
             s, c, p = map(np.concatenate, (out_sig, out_cls, out_pivot))
             k = len(s)
             if k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(s), pa.array(c), pa.array(p), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=["kind", "sig", "cls", "pivot", "id", "n", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(s), pa.array(c), pa.array(p), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=NAMES)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     dealt = chosen.mapInArrow(sign, ROWS).repartition(C.parallelism(spark), "sig").sortWithinPartitions("sig", "cls")
@@ -223,8 +244,8 @@ def passes(measure: Measure, pairs: DataFrame, points: DataFrame) -> DataFrame:
     return joined.mapInArrow(bound, "a long, b long")
 
 
-def verify(measure: Measure, pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, linked) for stored pairs, on the whole shingle sets of one text of each."""
+def verify(measure: Measure, pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """(a, b, linked) for stored pairs, each of them, on the whole shingle sets (64 bits a shingle) of one text of each."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(reps.select("cls", "rep"), "cls")
     wanted = C.stored(wanted, "wanted")
     if wanted.count() <= 500_000:  # 16 bytes each
@@ -233,64 +254,82 @@ def verify(measure: Measure, pairs: DataFrame, reps: DataFrame, docs: DataFrame,
     texts = docs.select(key.alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep").select("cls", "text")
 
     def sets(batches):
-        for batch in batches:
+        for batch in K.runs(batches, 1):
             h, size = shingles(batch.column(1), measure.k)
-            right = set_names(h, size) == batch.column(0).to_numpy()
-            packed = (h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            right = set_names(h, size, seed) == batch.column(0).to_numpy()
             ends = np.cumsum(size)
             rows = np.flatnonzero(right).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right)), pa.array(size[right].astype(np.int64)), pa.array([packed[ends[i] - size[i] : ends[i]].tobytes() for i in rows], pa.binary())], names=["cls", "n", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right)), pa.array(size[right].astype(np.int64)), pa.array([h[ends[i] - size[i] : ends[i]].tobytes() for i in rows], pa.binary())], names=["cls", "n", "items"])
 
     kept = C.stored(texts.mapInArrow(sets, "cls long, n long, items binary").dropDuplicates(["cls"]), "sets", compression="uncompressed")
     left = kept.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("sa"))
     right = kept.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("sb"))
 
-    def unpack(b: bytes) -> np.ndarray:
-        wide = np.zeros((len(b) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-        return wide.view("<u8").ravel()
-
     def exact(batches):
         for batch in batches:
             linked = []
             for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5))):
-                both = np.concatenate([unpack(sa), unpack(sb)])
+                both = np.concatenate([np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 linked.append(common * (measure.num + measure.den) >= measure.num * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-    return C.stored(joined.mapInArrow(exact, "a long, b long, linked boolean"), "verified")
+    tested = C.stored(joined.mapInArrow(exact, "a long, b long, linked boolean"), "verified")
+    if tested.count() != pairs.count():
+        raise RuntimeError("a pair's texts were not found again: the input changes from read to read")
+    return tested
 
 
 class RTree:
-    """Count vectors in leaves of LEAF sorted points, each leaf with its bounding box."""
+    """Count vectors in leaves of LEAF points under levels of FANOUT boxes a node, bulk-loaded by sort-tile-recursive.
+
+    A box is the least and largest count of each group and the least and
+    largest set size below it. A point's coordinate minima with a box sum to no
+    less than with any point inside, so that a box whose bound allows no link
+    is left out with all below it.
+    """
 
     def __init__(self, n: np.ndarray, points: np.ndarray):
         spread = np.argsort(-points.astype(np.float64).var(axis=0))[:2] if len(points) else [0, 0]
-        self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], n))
+        tiles = max(1, round((len(n) / LEAF) ** (1 / 3)))
+        tile = np.zeros(len(n), np.int64)
+        for values in (n, points[:, spread[0]], points[:, spread[1]]):
+            order = np.lexsort((values, tile))
+            first = np.searchsorted(tile[order], tile[order])
+            size = np.bincount(tile)[tile[order]]
+            tile[order] = tile[order] * tiles + (np.arange(len(n)) - first) * tiles // size
+        self.order = np.argsort(tile, kind="stable")
         self.n, self.points = n[self.order], points[self.order].astype(np.int16)
+        self.levels = []  # from the leaves up: least and largest counts, least and largest sizes
         at = np.arange(0, len(n), LEAF)
-        self.low, self.high = np.minimum.reduceat(self.points, at), np.maximum.reduceat(self.points, at)
-        self.top = np.maximum.reduceat(self.n, at)
-        self.bottom = np.minimum.reduceat(self.n, at)
+        level = (np.minimum.reduceat(self.points, at), np.maximum.reduceat(self.points, at), np.minimum.reduceat(self.n, at), np.maximum.reduceat(self.n, at))
+        self.levels.append(level)
+        while len(level[0]) > FANOUT:
+            at = np.arange(0, len(level[0]), FANOUT)
+            level = tuple(f.reduceat(x, at) for f, x in zip((np.minimum, np.maximum, np.minimum, np.maximum), level))
+            self.levels.append(level)
 
     def within(self, measure: Measure, n: int, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Members that the bound lets be linked with the point, and their L1 distances."""
-        gap = (np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)).sum(axis=1, dtype=np.int64)
-        sized = (self.bottom * measure.num <= n * measure.den) & (n * measure.num <= self.top * measure.den)
-        leaves = np.flatnonzero(sized & (gap <= measure.most_apart(self.top + n)))
-        if not len(leaves):
-            return leaves, leaves
-        rows = K.ragged(leaves * LEAF, np.minimum(LEAF, len(self.n) - leaves * LEAF))
-        apart = np.abs(self.points[rows] - point).sum(axis=1, dtype=np.int64)
-        keep = apart <= measure.most_apart(self.n[rows] + n)
-        return self.order[rows[keep]], apart[keep]
+        nodes = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            low, high, bottom, top = (x[nodes] for x in self.levels[depth])
+            gap = (np.maximum(low - point, 0) + np.maximum(point - high, 0)).sum(axis=1, dtype=np.int64)
+            sized = (bottom * measure.num <= n * measure.den) & (n * measure.num <= top * measure.den)
+            nodes = nodes[sized & (gap <= measure.most_apart(top + n))]
+            if not len(nodes):
+                return nodes, nodes
+            width, count = (FANOUT, len(self.levels[depth - 1][0])) if depth else (LEAF, len(self.n))
+            nodes = K.ragged(nodes * width, np.minimum(width, count - nodes * width))
+        apart = np.abs(self.points[nodes] - point).sum(axis=1, dtype=np.int64)
+        keep = apart <= measure.most_apart(self.n[nodes] + n)
+        return self.order[nodes[keep]], apart[keep]
 
 
 def near_pairs(measure: Measure, n: np.ndarray, points: np.ndarray, asks: np.ndarray):
-    """(asking row, other row, L1 distance) of one block's pairs that pass the bound; a block of one leaf needs no tree."""
+    """(asking row, other row, L1 distance) of one block's pairs that pass the bound; a block of one leaf needs no tree above it."""
     held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
     if len(held) > LEAF:
         tree = RTree(n[held], points[held])
@@ -375,42 +414,47 @@ def blocks(members: DataFrame) -> DataFrame:
     return held.union(asking)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     A null or wordless text has an empty set, is linked with nothing and is its
     own component. Rows that share a doc_id are one node only through their
     texts. A row with a null doc_id takes part in its component under the
     smallest id there, null if there is none. An empty table gives no row.
+    Other columns of docs are not read, whatever their names. Sets go by a
+    63-bit name; if two different sets meet in one (their second names tell),
+    the work is done again with other names.
     """
     measure = Measure(k, num, den)
-    rows = directory(docs, measure, id_col, text_col)
+    rows = directory(docs, measure, id_col, text_col, seed)
     texts = rows.where("kind = 0").select("id", "n", "cls")
-    reps = C.stored(rows.where("kind = 0 and n > 0").groupBy("cls").agg(F.coalesce(F.min("id"), F.min("pivot")).alias("rep"), F.max("n").alias("n"), F.first("vec").alias("vec")), "sets")
+    reps = rows.where("kind = 0 and n > 0").groupBy("cls").agg(F.coalesce(F.min("id"), F.min("pivot")).alias("rep"), F.max("n").alias("n"), F.first("vec").alias("vec"), (F.min("twin") != F.max("twin")).alias("mixed"))
+    reps = C.stored(reps, "sets")
+    if reps.where("mixed").limit(1).count():
+        return components(docs, id_col, text_col, k, num, den, seed + 1)
     members = rows.where("kind = 1").select("sig", "cls", "pivot")
     shared = members.where("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("k"))
     star = shared.groupBy("cls").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot")).select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     pairs = C.stored(passes(measure, star, reps), "pairs")
+    members = members.select("sig", "cls")
     spark = docs.sparkSession
     links = refuted = spark.createDataFrame([], "a long, b long")
-    every = False  # the first round links most of what remains by few pairs; the next ones leave none untested
+    # The star's pairs and spanning forests link most of what is linked by few pairs; the last step tests every pair that still lies across components.
+    step = "star"
     while True:
-        tested = verify(measure, pairs, reps, docs, id_col, text_col)
+        tested = verify(measure, pairs, reps, docs, id_col, text_col, seed)
         links = C.stored(links.union(tested.where("linked").select("a", "b")), "links")
-        refuted = C.stored(refuted.union(tested.where("not linked").select("a", "b")), "refuted")
         labels = C.stored(C.connected_components(links), "labels")
-        named = members.select("sig", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("label"))
-        split = named.groupBy("sig").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        once = split.groupBy("k", "who").agg(F.min("sig").alias("sig")).select("sig")  # entries with the same members need one tree
-        open_ = blocks(named.join(once, "sig")).join(reps.select("cls", "n", "vec"), "cls")
-        pairs = C.stored(candidates(measure, open_, refuted, every), "pairs")
-        none = pairs.limit(1).count() == 0
-        if none and not every:  # all of the forest may have been refuted before
-            pairs = C.stored(candidates(measure, open_, refuted, True), "pairs")
-            none = pairs.limit(1).count() == 0
-        every = True
-        if none:
+        if step == "all":
             break
+        refuted = C.stored(refuted.union(tested.where("not linked").select("a", "b")), "refuted")
+        named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("label"))
+        split = named.groupBy("sig").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("whose"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        once = split.groupBy("k", "who", "whose").agg(F.min("sig").alias("sig")).select("sig")  # entries with the same members need one tree
+        named = C.stored(named.join(once, "sig"), "open")
+        members = named.select("sig", "cls")  # an entry within one component stays so
+        pairs = C.stored(candidates(measure, blocks(named).join(reps.select("cls", "n", "vec"), "cls"), refuted, step == "forest"), "pairs")
+        step = "all" if step == "forest" else "forest"
     named = texts.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("label"))
     smallest = named.where("n > 0").groupBy("label").agg(F.min("id").alias("smallest"))
     return named.join(smallest, "label", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component_id"))

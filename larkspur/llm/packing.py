@@ -166,7 +166,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, e
 
     def cut(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(width + 1, np.int64)
-        for batch in batches:
+        for batch in K.runs(batches, 1):
             ids, size = T.with_end(*T.encoder(vocabulary).encode(batch.column(1)), end_id)
             pieces = -(-size // width)
             which = np.repeat(np.arange(len(size)), pieces)

@@ -142,10 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             used += batch.nbytes
             if room <= 0:
                 continue
-            for at, length in K.slices(batch.column(1), RUN_BYTES):
-                run = batch.slice(at, length)
+            for run in K.runs([batch], 1, RUN_BYTES):
                 owner, feature, value = features(run.column(1))
-                ends = np.searchsorted(owner, np.arange(length + 1))
+                ends = np.searchsorted(owner, np.arange(len(run) + 1))
                 ids, marks = run.column(0).to_pylist(), run.column(2).to_pylist()
                 rows += [(ids[i], marks[i], feature[a:b].astype(np.int32), value[a:b].astype(np.float32)) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
         model = Ftrl()

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm import common as C
+from larkspur.llm import kernels as K
 from larkspur.llm import tokenize as T
 
 SCHEMA = "id long, part int, first long, n_tokens long, tokens array<int>"
@@ -49,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def encode(batches):
         part, first = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in K.runs(batches, 1):
             ids, size = T.with_end(*T.encoder(vocabulary).encode(batch.column(1)), end_id)
             stops = np.cumsum(size)
             yield pa.RecordBatch.from_arrays(

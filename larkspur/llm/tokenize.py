@@ -15,7 +15,8 @@ import pyarrow as pa
 from larkspur.llm import kernels as K
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO_WORDS = 1_200_000
+#: Words that a worker remembers, some 40 bytes each with their ids; beyond, it starts anew.
+MEMO_WORDS = 800_000
 
 _WORD = K.SPACED | ((K._bytes >= 9) & (K._bytes <= 13) & (K._bytes != 10))
 _PUNCTUATION = (K._bytes < 128) & (K._bytes > 32) & (K._bytes < 127) & ~K.LETTER_BYTE & ~K.DIGIT_BYTE & (K._bytes != 39)

@@ -1,12 +1,12 @@
 """Corpus operators against brute force on small rows with nulls, empty texts, ties and repeats."""
 
 import bisect
-import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import html_text, kernels, language_model, packing, tokenize
 
@@ -187,10 +187,6 @@ def test_words_kernel():
     assert text.tolist() == [0, 0, 3] and len(set(h.tolist())) == 1
 
 
-def test_digest_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
-
-
 @pytest.mark.parametrize("linkers", [1, 2, 100])
 def test_url_trust_does_not_count_linkers(spark, linkers):
     from larkspur.llm.queries import RULES
@@ -257,3 +253,48 @@ def test_nearest_of_repeated_rows(spark):
     rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(100, [0.0, 1.0])] * 3 + [(1, [1.0, 1.0])] * 12
     got = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(100, i, i, float(i)) for i in range(1, 11)]
+
+
+def test_components_of_an_empty_table_and_of_repeated_ids(spark):
+    from larkspur.llm.near_duplicates import components
+
+    long = " ".join(f"q{i}" for i in range(200))
+    rows = [(1, "a b c d"), (1, "e f g h"), (2, "e f g h"), (3, long), (3, long + " end"), (4, "x " + long)]
+    docs = spark.createDataFrame([(i, t, "c", 7) for i, t in rows], "doc_id long, text string, cls string, n int")
+    got = sorted(map(tuple, components(docs).collect()))
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 198, 3), (3, 199, 3), (4, 199, 3)] and components(docs.limit(0)).count() == 0
+
+
+def test_sets_that_meet_in_a_name_are_named_again(spark, monkeypatch):
+    from larkspur.llm import near_duplicates as N
+
+    named = N.set_names
+
+    def clumsy(h, size, seed=0):
+        return np.where(size > 0, 1, 0).astype(np.int64) if seed == 0 else named(h, size, seed)
+
+    h, size = N.shingles(pa.array(["a b c", "d e f", ""]), 3)
+    assert len(set(clumsy(h, size).tolist())) == 2 and len(set(named(h, size, 1).tolist())) == 3
+    rows = spark.createDataFrame([(1, 5, 6), (1, 7, 8)], "cls long, n long, twin long").groupBy("cls").agg((F.min("twin") != F.max("twin")).alias("mixed"))
+    assert rows.first()["mixed"]
+
+
+def test_tree_finds_what_every_pair_would(spark):
+    from larkspur.llm import near_duplicates as N
+
+    rng = np.random.default_rng(2)
+    measure = N.Measure(3, 80, 100)
+    base = rng.poisson(3, (40, 64))
+    points = np.clip(np.repeat(base, 30, axis=0) + rng.integers(-1, 2, (1200, 64)) * (rng.random((1200, 64)) < 0.2), 0, 255).astype(np.uint8)
+    n = points.sum(axis=1).astype(np.int64)
+    tree = N.RTree(n, points)
+    assert len(tree.levels) >= 2
+    seen = 0
+    for i in range(0, 1200, 50):
+        apart = np.abs(points.astype(int) - points[i]).sum(axis=1)
+        want = np.flatnonzero(apart <= measure.most_apart(n + n[i]))
+        got, _ = tree.within(measure, int(n[i]), points[i].astype(np.int16))
+        sized = want[(n[want] * 80 <= n[i] * 100) & (n[i] * 80 <= n[want] * 100)]
+        assert set(sized.tolist()) <= set(got.tolist()) <= set(want.tolist())
+        seen += len(got)
+    assert seen > 24
