@@ -20,7 +20,7 @@ import json
 import math
 import os
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,17 @@ from larkspur.llm import kernels as K
 END = np.uint64(1)
 SHARD_BYTES = 24 << 20
 SCALE = 65535 / 20
-_FILES: dict[str, np.ndarray] = {}
+#: Shards that a worker keeps mapped.
+OPEN_FILES = 16_384
+_FILES: dict[str, dict[str, np.ndarray]] = {}
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_FIVES, _THREES, _FIFTEENS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+_set_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: For every byte, where its n-th set bit stands.
+_NTH = np.argsort(1 - _set_bits, axis=1, kind="stable")
+
+
+_RESTORED = 10.0 ** (np.arange(65536) / -SCALE)
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -43,7 +53,7 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 def restore(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(np.float64) / -SCALE)
+    return _RESTORED[code]
 
 
 class EliasFano:
@@ -61,33 +71,37 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         shift = min(cls.KINDS, key=lambda s: n * s + (top >> s) + n)
         high = (values >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(n, np.int64)
-        at = high + np.arange(n)
         size = n + (top >> shift) + 2
-        words = -(-size // 512) * 8
-        bits = np.zeros(words * 64, np.uint8)
-        bits[at] = 1
+        bits = np.zeros((-(-size // 64) + 1) * 64, np.uint8)  # one word more, for windows that reach over
+        bits[high + np.arange(n)] = 1
         bits = np.packbits(bits, bitorder="little").view(np.uint64)
-        unset = (64 - np.bitwise_count(bits).astype(np.int64)).reshape(-1, 8).sum(axis=1)
+        unset = 64 - np.bitwise_count(bits).astype(np.int64)
         zeros = np.cumsum(unset) - unset
-        return cls(values.astype(cls.KINDS[shift]), bits, zeros)
+        return cls(values.astype(cls.KINDS[shift]), bits, zeros.astype(np.uint32) if len(bits) < 1 << 25 else zeros)
 
     def select0(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th unset bit, from 0."""
-        block = np.searchsorted(self.zeros, k, side="right") - 1
-        words = ~self.bits.reshape(-1, 8)[block]
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        rest = k - self.zeros[block]
-        word = (upto <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(word > 0, upto[rows, np.maximum(word, 1) - 1], 0)
-        value = words[rows, word]
-        place = np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            low = np.bitwise_count((value >> place.astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            over = low <= rest
-            rest = np.where(over, rest - low, rest)
-            place = np.where(over, place + width, place)
-        return block * 512 + word * 64 + place
+        """Position of the k-th unset bit, from 0: its word by the directory, its byte by prefix counts, its bit by table."""
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), side="right") - 1
+        rest = (k - self.zeros[word]).astype(np.uint64)
+        value = ~self.bits[word]
+        counts = value - ((value >> np.uint64(1)) & _FIVES)
+        counts = (counts & _THREES) + ((counts >> np.uint64(2)) & _THREES)
+        upto = ((counts + (counts >> np.uint64(4))) & _FIFTEENS) * _ONES
+        byte = np.bitwise_count(((rest * _ONES | _TOPS) - upto) & _TOPS).astype(np.uint64) << np.uint64(3)
+        before = ((upto << np.uint64(8)) >> byte) & np.uint64(255)
+        return word * 64 + byte.astype(np.int64) + _NTH[((value >> byte) & np.uint64(255)).astype(np.int64), (rest - before).astype(np.int64)]
+
+    def run(self, at: np.ndarray) -> np.ndarray:
+        """How many set bits follow from each position on, up to the next unset one."""
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        near = ~self.bits[word] >> off
+        free = near & (~near + np.uint64(1))
+        inside = np.bitwise_count(free - np.uint64(1)).astype(np.int64)
+        beyond = np.flatnonzero(near == 0)
+        if len(beyond):
+            nth = self.zeros[word[beyond] + 1].astype(np.int64)
+            inside[beyond] = self.select0(nth) - at[beyond]
+        return inside
 
     def find(self, q: np.ndarray) -> np.ndarray:
         """Each value's place in the sequence, or -1: a successor search among the values of its high part."""
@@ -96,20 +110,22 @@ class EliasFano:
             return np.full(len(q), -1)
         if self.shift < 64:
             high = (q >> np.uint64(self.shift)).astype(np.int64)
-            last = int(self.zeros[-1]) + int(np.bitwise_count(~self.bits[-8:]).sum())
-            inside = high < last
+            inside = high < len(self.bits) * 64 - n
             high = np.where(inside, high, 0)
-            lo = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0) - high
-            hi = self.select0(high) - high
-            lo, hi = np.where(inside, lo, 0), np.where(inside, hi, 0)
+            at = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) + 1, 0)
+            lo = at - high
+            hi = np.where(inside, lo + self.run(np.minimum(at, len(self.bits) * 64 - 65)), lo)
         else:
             lo, hi = np.zeros(len(q), np.int64), np.full(len(q), n)
-        low, stop = q.astype(self.low.dtype), hi
-        while (open_ := lo < hi).any():
-            middle = (lo + hi) >> 1
-            less = self.low[np.minimum(middle, n - 1)] < low
-            lo = np.where(open_ & less, middle + 1, lo)
-            hi = np.where(open_ & ~less, middle, hi)
+        low, stop = q.astype(self.low.dtype), hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        lo = lo.copy()
+        while len(open_):
+            first, last = lo[open_], hi[open_]
+            middle = (first + last) >> 1
+            less = self.low[middle] < low[open_]
+            lo[open_], hi[open_] = np.where(less, middle + 1, first), np.where(less, last, middle)
+            open_ = open_[lo[open_] < hi[open_]]
         found = (lo < stop) & (self.low[np.minimum(lo, n - 1)] == low)
         return np.where(found, lo, -1)
 
@@ -118,40 +134,78 @@ class EliasFano:
 
 
 def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Files appear whole, under their own names, however often a task is tried."""
+    """One file for all arrays of a shard's level; it appears whole, under its name, however often a task is tried."""
     os.makedirs(folder, exist_ok=True)
+    places, at = {}, 0
     for part, a in arrays.items():
-        tmp = f"{folder}/.{uuid.uuid4().hex}.npy"
-        np.save(tmp, a)
-        os.replace(tmp, f"{folder}/{name}.{part}.npy")
-
-
-def mapped(folder: str, name: str) -> np.ndarray:
-    path = f"{folder}/{name}.npy"
+        places[part] = (a.dtype.str, len(a), at)
+        at += -(-a.nbytes // 64) * 64
+    head = json.dumps(places).encode()
+    head += b" " * (-(len(head) + 8) % 64)
+    tmp = f"{folder}/.{uuid.uuid4().hex}"
+    with open(tmp, "wb") as f:
+        f.write(len(head).to_bytes(8, "little") + head)
+        for a in arrays.values():
+            f.write(a.tobytes() + bytes(-a.nbytes % 64))
+    os.replace(tmp, f"{folder}/{name}")
+
+
+def mapped(folder: str, name: str) -> dict[str, np.ndarray]:
+    path = f"{folder}/{name}"
     if path not in _FILES:
-        if len(_FILES) > 4096:
-            _FILES.clear()
-        a = np.load(path, mmap_mode="r") if os.path.getsize(path) > 4096 else np.load(path)
-        _FILES[path] = np.asarray(a) if len(a) == 0 else a.view(np.ndarray)
+        if len(_FILES) >= OPEN_FILES:
+            _FILES.pop(next(iter(_FILES)))
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
+        start = 8 + int.from_bytes(raw[:8].tobytes(), "little")
+        places = json.loads(raw[8:start].tobytes())
+        _FILES[path] = {part: raw[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for part, (kind, n, at) in places.items()}
     return _FILES[path]
 
 
-def sequence(folder: str, name: str) -> EliasFano:
-    return EliasFano(*(mapped(folder, f"{name}.{part}") for part in ("low", "bits", "zeros")))
+def sequence(folder: str, name: str, part: str) -> EliasFano:
+    held = mapped(folder, name)
+    return EliasFano(*(held[f"{part}.{x}"] for x in ("low", "bits", "zeros")))
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers in four bytes each, if they fit."""
+    return a.astype(np.uint32) if not len(a) or int(a.max()) < 1 << 32 else a
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and where each value stands among them, by hashing; only the distinct ones are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], rank[coded.indices.to_numpy()]
+
+
+def by_shard(shard: np.ndarray):
+    """(shard, places of its entries) for each shard that has any: one sort, whatever the number of shards."""
+    order = np.argsort(shard, kind="stable")
+    kept = shard[order]
+    first = np.flatnonzero(np.append(True, kept[1:] != kept[:-1])) if len(kept) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(kept)]):
+        yield int(kept[a]), order[a:b]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    """Arrays of one length, the first ascending and kept as differences; bytes of one weight lie together, as the high ones compress best."""
+    first = np.diff(arrays[0], prepend=arrays[0].dtype.type(0))
+    planes = (np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T) for a in (first, *arrays[1:]))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in planes))
 
 
 def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(raw) // sum(sizes), [], 0
+    for k, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +231,8 @@ class Model:
     n_tokens: int
     n_texts: int
     discount: float
+    runs: frozenset = frozenset()  # the shards that hold any pair
+    begun: frozenset = frozenset()  # the word ranges that hold any context
 
     @property
     def span(self) -> int:
@@ -188,27 +244,27 @@ class Model:
     def shard_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (K.mix((a.astype(np.uint64) << np.uint64(32)) ^ b.astype(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
 
-    def ids(self, distinct: np.ndarray) -> np.ndarray:
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers of sorted distinct hashes, in their order; -1 for words not in training."""
-        out = np.full(len(distinct), -1)
-        ends = np.searchsorted(self.range_of(distinct), np.arange(len(self.base) + 1))
-        for r, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-            if b > a:
-                at = sequence(self.folder, f"words-{r}.h").find(distinct[a:b])
-                out[a:b] = np.where(at >= 0, at + self.base[r], -1)
+        out = np.full(len(hashes), -1)
+        for r, at in by_shard(self.range_of(hashes)):
+            if r + 1 < len(self.base) and self.base[r + 1] > self.base[r] or r + 1 == len(self.base) and self.vocabulary > self.base[r]:
+                got = sequence(self.folder, f"words-{r}", "h").find(hashes[at])
+                out[at] = np.where(got >= 0, got + self.base[r], -1)
         return out
 
     def per_word(self, name: str, ids: np.ndarray) -> np.ndarray:
         """A stored array's value for each word number (0 for -1)."""
-        distinct, which = np.unique(ids, return_inverse=True)
-        out = np.zeros(len(distinct), np.int64)
-        r = np.searchsorted(np.array(self.base), distinct, side="right") - 1
-        for k in np.unique(r[distinct >= 0]).tolist():
-            own = (r == k) & (distinct >= 0)
-            a = mapped(self.folder, f"words-{k}.{name}")
-            at = distinct[own] - self.base[k]
-            out[own] = np.where(at < len(a), a[np.minimum(at, max(0, len(a) - 1))] if len(a) else 0, 0)
-        return out[which]
+        out = np.zeros(len(ids), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        for r, at in by_shard(np.searchsorted(np.array(self.base), ids[known], side="right") - 1):
+            if name == "kinds" and r not in self.begun:
+                continue
+            at = known[at]
+            a = mapped(self.folder, f"words-{r}" if name == "count" else f"kinds-{r}")[name]
+            place = ids[at] - self.base[r]
+            out[at] = np.where(place < len(a), a[np.minimum(place, len(a) - 1)], 0)
+        return out
 
 
 def _send(schema_shard: np.ndarray, arrays: list[np.ndarray], shards: int):
@@ -242,14 +298,11 @@ def train(docs: DataFrame, text_col: str = "text", discount: float = 0.75, min_t
         h, n = (np.concatenate(a) for a in zip(*(_unpack(b, [np.uint64, np.uint32]) for b in part.column("blob").to_pylist())))
         h, which = np.unique(h, return_inverse=True)
         n = np.bincount(which, n).astype(np.int64)
-        save(folder, f"words-{key[0].as_py()}", EliasFano.build(h).arrays("h") | {"count": n})
+        save(folder, f"words-{key[0].as_py()}", EliasFano.build(h).arrays("h") | {"count": narrow(n)})
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([len(h)]), "tokens": pa.array([int(n.sum())])})
 
-    found = texts.mapInArrow(count_words, blob).groupBy("shard").applyInArrow(merge_words, "shard int, words long, tokens long").collect()
+    found = texts.mapInArrow(count_words, blob).repartition(shards, "shard").groupBy("shard").applyInArrow(merge_words, "shard int, words long, tokens long").collect()
     words = {r["shard"]: (r["words"], r["tokens"]) for r in found}
-    for r in range(shards):
-        if r not in words:
-            save(folder, f"words-{r}", EliasFano.build(np.zeros(0, np.uint64)).arrays("h") | {"count": np.zeros(0, np.int64)})
     counts = [words.get(r, (0, 0)) for r in range(shards)]
     base = np.cumsum([0, *[w for w, _ in counts]]).tolist()
     model = Model(folder, shards, bits, tuple(base[:-1]), base[-1], sum(t for _, t in counts), int(n_texts), discount)
@@ -260,17 +313,19 @@ def train(docs: DataFrame, text_col: str = "text", discount: float = 0.75, min_t
             h, size = tokens(batch.column(0))
             if not len(h):
                 continue
-            distinct, local = np.unique(h, return_inverse=True)
-            known = np.append(model.ids(distinct), [bos, pad])  # ascending, as word numbers follow hashes
+            words, local = distinct(h)
+            known = np.append(model.ids(words), [bos, pad])  # ascending, as word numbers follow hashes
             ends = np.cumsum(size)
-            before = np.append(len(distinct), local[:-1])
-            before[ends[:-1]] = len(distinct)
-            after = np.append(local[1:], len(distinct) + 1)
-            after[ends - 1] = len(distinct) + 1
+            before = np.append(len(words), local[:-1])
+            before[ends[:-1]] = len(words)
+            after = np.append(local[1:], len(words) + 1)
+            after[ends - 1] = len(words) + 1
             a, b, c = (x.astype(np.uint64) for x in (before, local, after))
             width = np.uint64(max(1, int(len(known) - 1).bit_length()))
             if 3 * int(width) <= 64:
-                key, n = np.unique((((a << width) | b) << width) | c, return_counts=True)
+                key = np.sort((((a << width) | b) << width) | c)
+                new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                key, n = key[new], np.diff(np.append(new, len(key)))
                 mask = (np.uint64(1) << width) - np.uint64(1)
                 a, b, c = key >> (width * np.uint64(2)), (key >> width) & mask, key & mask
             else:
@@ -307,32 +362,28 @@ def train(docs: DataFrame, text_col: str = "text", discount: float = 0.75, min_t
         save(folder, name, EliasFano.build(pairs).arrays("pair") | EliasFano.build(triples).arrays("triple") | {"q2": quantise(q2), "left": quantise(np.maximum(left, 1e-19)), "q3": quantise(q3)})
         a, kinds = np.unique(a, return_counts=True)
         target = np.searchsorted(np.array(model.base), a, side="right") - 1
-        return pa.Table.from_batches([_send(target, [a.astype(np.uint32), kinds.astype(np.uint32)], shards)])
+        sent = pa.Table.from_batches([_send(target, [a.astype(np.uint32), kinds.astype(np.uint32)], shards)])
+        return sent.append_column("home", pa.array(np.full(len(sent), key[0].as_py(), np.int32)))
 
     def merge_contexts(key, part):
         r = key[0].as_py()
         a, n = (np.concatenate(x) for x in zip(*(_unpack(p, [np.uint32] * 2) for p in part.column("blob").to_pylist())))
         kinds = np.bincount(a.astype(np.int64) - model.base[r], n).astype(np.int64)
-        save(folder, f"words-{r}", {"kinds": kinds})
+        save(folder, f"kinds-{r}", {"kinds": narrow(kinds)})
         return pa.table({"shard": pa.array([r], pa.int32())})
 
-    built = C.stored(texts.mapInArrow(count_runs, blob).groupBy("shard").applyInArrow(build, blob), "contexts")
-    done = {r[0] for r in built.groupBy("shard").applyInArrow(merge_contexts, "shard int").collect()}
-    for r in range(shards):
-        if r not in done:
-            save(folder, f"words-{r}", {"kinds": np.zeros(0, np.int64)})
-        if not os.path.exists(f"{folder}/runs-{r}.q2.npy"):
-            none = EliasFano.build(np.zeros(0, np.uint64))
-            save(folder, f"runs-{r}", none.arrays("pair") | none.arrays("triple") | {x: np.zeros(0, np.uint16) for x in ("q2", "left", "q3")})
-    with open(f"{folder}/model.json", "w") as f:
-        json.dump(model.__dict__, f)
+    counted = texts.mapInArrow(count_runs, blob).repartition(shards, "shard").groupBy("shard").applyInArrow(build, f"{blob}, home int")
+    built = C.stored(counted, "contexts")
+    merged = built.select("shard", "blob").repartition(shards, "shard").groupBy("shard").applyInArrow(merge_contexts, "shard int")
+    begun = frozenset(r[0] for r in merged.collect())
+    model = replace(model, runs=frozenset(r[0] for r in built.select("home").distinct().collect()), begun=begun)
     return model
 
 
 def token_scores(model: Model, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """→ the model's probability of every token, its add-one probability, whether it is known."""
-    distinct, word = np.unique(h, return_inverse=True)
-    numbers = model.ids(distinct)
+    words, word = distinct(h)
+    numbers = model.ids(words)
     counts, kinds_of = model.per_word("count", numbers), model.per_word("kinds", numbers)
     ids = numbers[word]
     known = ids >= 0
@@ -346,16 +397,18 @@ def token_scores(model: Model, h: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     count = np.where(before == bos, model.n_texts, counts[last])
     kinds = np.where(before == bos, model.per_word("kinds", np.array([bos])), kinds_of[last])
     both = np.flatnonzero(seen & known)
-    pair, which = np.unique(before[both].astype(np.uint64) * span + ids[both].astype(np.uint64), return_inverse=True)
+    pair, which = distinct(before[both].astype(np.uint64) * span + ids[both].astype(np.uint64))
     shard = model.shard_of(pair // span, pair % span)
     at, q2, left = np.full(len(pair), -1), np.zeros(len(pair)), np.ones(len(pair))
-    for s in np.unique(shard).tolist():
-        own = np.flatnonzero(shard == s)
-        got = sequence(model.folder, f"runs-{s}.pair").find(pair[own])
+    for s, own in by_shard(shard):
+        if s not in model.runs:
+            continue
+        got = sequence(model.folder, f"runs-{s}", "pair").find(pair[own])
         hit = got >= 0
         at[own] = got
-        q2[own[hit]] = restore(mapped(model.folder, f"runs-{s}.q2")[got[hit]])
-        left[own[hit]] = restore(mapped(model.folder, f"runs-{s}.left")[got[hit]])
+        held = mapped(model.folder, f"runs-{s}")
+        q2[own[hit]] = restore(held["q2"][got[hit]])
+        left[own[hit]] = restore(held["left"][got[hit]])
     place, home = np.full(len(h), -1), np.zeros(len(h), np.int64)
     p2, rest = np.zeros(len(h)), np.ones(len(h))
     place[both], home[both], p2[both], rest[both] = at[which], shard[which], q2[which], left[which]
@@ -368,12 +421,14 @@ def token_scores(model: Model, h: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     i = i[place[i - 1] >= 0]
     p3[i] = rest[i - 1] * p2[i]
     i = i[known[i]]
-    for s in np.unique(home[i - 1]).tolist():
-        own = i[home[i - 1] == s]
-        key, which = np.unique(place[own - 1].astype(np.uint64) * span + ids[own].astype(np.uint64), return_inverse=True)
-        got = sequence(model.folder, f"runs-{s}.triple").find(key)[which]
-        hit = got >= 0
-        p3[own[hit]] += restore(mapped(model.folder, f"runs-{s}.q3")[got[hit]])
+    for s, own in by_shard(home[i - 1]):
+        own = i[own]
+        key, which = distinct(place[own - 1].astype(np.uint64) * span + ids[own].astype(np.uint64))
+        got = sequence(model.folder, f"runs-{s}", "triple").find(key)
+        held = mapped(model.folder, f"runs-{s}")["q3"]
+        q3 = np.zeros(len(got))
+        q3[got >= 0] = restore(held[got[got >= 0]])
+        p3[own] += q3[which]
     return p3, p1, known
 
 

@@ -130,7 +130,7 @@ def test_language_model(spark, docs):
 def test_language_model_holds_triples_seen_once(spark):
     texts = [(0, "a b c"), (1, "x b d"), (2, "x y b d")]
     model = language_model.train(spark.createDataFrame(texts, "doc_id long, text string"))
-    held = sum(len(language_model.sequence(model.folder, f"runs-{s}.triple").low) for s in range(model.shards))
+    held = sum(len(language_model.sequence(model.folder, f"runs-{s}", "triple").low) for s in model.runs)
     assert held == len({t for _, s in texts for w in [["<", *s.split(), ">"]] for t in zip(w, w[1:], w[2:])})
     pruned = language_model.train(spark.createDataFrame(texts, "doc_id long, text string"), min_triples=2)
     once = spark.createDataFrame([(0, "a b c")], "doc_id long, text string")
