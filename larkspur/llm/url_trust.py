@@ -19,6 +19,8 @@ from larkspur.llm import common as C
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A host with over 1 / HEAVY of the pages (there are fewer than HEAVY such) is dealt into SALTS parts for the last join.
 HEAVY, SALTS = 1000, 64
+#: The links of a host with at least HUB_LINKS of them, one way, are dealt into HUB_PARTS parts by their other end.
+HUB_LINKS, HUB_PARTS = 100_000, 64
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -50,11 +52,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
     Mass that reaches a host without links ends there. Rounds end
     when the masses change by less than tolerance in sum.
     """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).alias("part")
+    hubs = edges.groupBy("kind", "src").agg(F.count("*").alias("n")).where(F.col("n") >= HUB_LINKS).select("kind", "src", F.lit(True).alias("hub")).checkpoint()
+    dealt = F.when(F.coalesce("hub", F.lit(False)), F.pmod(F.xxhash64("dst"), F.lit(HUB_PARTS)).cast("int")).otherwise(0)
+    edges = edges.join(hubs, ["kind", "src"], "left").select("kind", "src", dealt.alias("part"), "dst", "share").checkpoint()
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("base"))
     mass = start.select("kind", "host", F.col("base").alias("mass")).checkpoint()
     for _ in range(rounds):
-        held = mass.select("kind", F.col("host").alias("src"), "mass")
-        brought = edges.join(held, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("mass"))
+        held = mass.select("kind", F.col("host").alias("src"), "mass").join(hubs, ["kind", "src"], "left")
+        held = held.where("hub is null").select("kind", "src", F.lit(0).alias("part"), "mass").unionByName(held.where("hub").select("kind", "src", parts, "mass"))
+        brought = edges.join(held, ["kind", "src", "part"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("mass"))
         both = start.select("kind", "host", F.col("base").alias("mass")).unionByName(brought)
         new = both.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).checkpoint()
         change = new.unionByName(mass.select("kind", "host", (-F.col("mass")).alias("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("d"))
@@ -66,15 +73,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-6, rounds: int = 30) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) for every page.
+    """(page_id, host, path, rule, verdict, trust, distrust, leads, vouched) for every page.
 
     A url without ``://``, or null, has an empty host and path. A host's seeds
-    are the shares of its pages that rules allow and block. A page no rule fits
-    is blocked if the share of its host's links that leads to blocked pages is
-    over threshold of that share, the trusted share of the links that reach the
-    host, and half the seed of its pages without a rule together; a host none of
-    whose links leads there is allowed. How many others link alike does not count. Null pages have no links; null and repeated ids keep their
-    rows; an empty table gives no row.
+    are the shares of its pages that rules allow and block. Where no rule fits,
+    the host decides: leads is the share of its pages that is blocked plus the
+    damped mean of leads over its links, vouched the share of its pages that is
+    allowed plus the damped mean of vouched over the links that reach it. The
+    host's pages are blocked if leads exceeds vouched by over threshold: with
+    one half and nothing that vouches, if its links go to blocked pages only,
+    at up to four links' distance. Both are
+    averages over links, so that it doesn't count how many others link alike,
+    as it would for trust and distrust, whose mass is divided among them. Null
+    pages have no links; null and repeated ids keep their rows; an empty table
+    gives no row; other columns are not read.
     """
     spark = C.prepare(pages.sparkSession)
     C.shared_dir(spark)
@@ -97,14 +109,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     mass = propagate(edges, seeds, damping, tolerance, rounds)
     kinds = ["trust", "distrust", "vouched", "leads"]
     by_host = mass.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind) for kind in kinds))
-    open_ = (1 - F.col("trusted") - F.col("blamed")) * (1 - damping) / 2
-    scores = of_host.join(by_host, "host", "left").select("host", "n", *(F.coalesce(kind, F.lit(0.0)).alias(kind) for kind in kinds), open_.alias("open"))
-    scores = scores.select("host", "n", "trust", "distrust", ((F.col("leads") > 0) & (F.col("leads") > threshold * (F.col("vouched") + F.col("leads") + F.col("open")))).alias("bad"))
+    amounts = {"trust": F.col("trust"), "distrust": F.col("distrust"), "leads": F.col("leads") / (1 - damping), "vouched": F.col("vouched") / (1 - damping)}
+    scores = of_host.join(by_host, "host", "left").select("host", "n", *(F.coalesce(x, F.lit(0.0)).alias(kind) for kind, x in amounts.items()))
+    scores = scores.withColumn("bad", F.col("leads") - F.col("vouched") > threshold)
     heavy = F.col("n") * HEAVY > F.lit(of_host.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     hot = F.broadcast(of_host.where(heavy).select("host", F.lit(True).alias("hot")))
     parts = F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("part")
     part = F.when(F.col("hot") | (F.col("host") == ""), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = judged.join(hot, "host", "left").withColumn("part", part)
-    joined = dealt.join(scores.select("host", parts, "trust", "distrust", "bad"), ["host", "part"], "left")
+    joined = dealt.join(scores.select("host", parts, "trust", "distrust", "leads", "vouched", "bad"), ["host", "part"], "left")
     method = F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("trust", "distrust", "leads", "vouched")))
