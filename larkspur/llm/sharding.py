@@ -78,32 +78,46 @@ def place_heavy(heavy: list[tuple[int, int]], light: int, shards: int) -> tuple[
     return where, [max(0.0, level - x) for x in load]
 
 
-def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, tolerance: float = 0.002, bucket_bytes: int = 16 << 20) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, tolerance: float = 0.002, bucket_bytes: int = 16 << 20, bucket_rows: int = 1000) -> DataFrame:
     """All rows and columns of docs with ``_size``, ``_shard`` and ``_slot``.
 
     Size is the text's UTF-8 bytes (null: none) plus 1. Equal texts share a
     shard; a null text is keyed as an empty one. Slots count each shard's rows
-    from 0 without gaps, in key order. Null and repeated ids are kept. An empty
-    table gives no row. A group larger than a shard's even share makes its
-    shard larger; the others stay even.
+    from 0 without gaps, in key order, then by id; which of several rows with
+    one text and id comes first isn't defined. Null and repeated ids are kept.
+    An empty table gives no row. A group larger than a shard's even share makes
+    its shard larger; the others stay even. If docs has a column of a new
+    column's name, the new one has more underscores before it.
+
+    Shards are exchanged in buckets, so many that none holds much over
+    bucket_bytes, nor over bucket_rows or a fraction of a task's share of the
+    rows; the exchange is as wide as there are buckets. Rows of a large group
+    are dealt into buckets of their own.
     """
     spark = C.prepare(docs.sparkSession)
+    size_name, shard_name, slot_name = (C.free_name(docs, n) for n in ("_size", "_shard", "_slot"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select("*", (F.octet_length(text) + F.lit(1)).cast("long").alias("_size"), F.xxhash64(text).alias("_key"))
-    groups = C.stored(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")), "groups")
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.xxhash64(text).alias("key"))
+    groups = C.stored(keyed.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
+    total, n_rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     mean = total / shards
     limit = tolerance * mean
-    heavy = [(r["key"], r["bytes"]) for r in groups.where(F.col("bytes") > limit).collect()]  # at most shards / tolerance
+    few = max(bucket_rows, n_rows // (16 * C.parallelism(spark)))
+    large = groups.where(F.col("bytes") > limit).collect()  # at most shards / tolerance
+    heavy = [(r["key"], r["bytes"]) for r in large]
     light = groups.where(F.col("bytes") <= limit)
     where, shares = place_heavy(heavy, total - sum(n for _, n in heavy), shards)
     targets = np.cumsum(shares)[:-1].tolist()
     cut = splitters(light, targets, limit / 2) if total else []
 
-    buckets = max(1, min(4096, math.ceil(mean / bucket_bytes)))
-    salts = {key: max(1, min(4096, math.ceil(size / bucket_bytes))) for key, size in heavy}
-    rows = [(key, where[key], i, salts[key]) for i, (key, _) in enumerate(sorted(heavy))]
-    named = spark.createDataFrame(rows, "_hkey long, _hshard int, _hrank int, _hsalts int")
+    buckets = max(1, math.ceil(mean / bucket_bytes), math.ceil(n_rows / shards / few))
+    rows, base = [], buckets
+    for r in sorted(large, key=lambda r: r["key"]):
+        parts = max(1, math.ceil(r["bytes"] / bucket_bytes), math.ceil(r["rows"] / few))
+        rows.append((r["key"], where[r["key"]], base, parts))
+        base += parts
+    width = max(C.parallelism(spark), shards * buckets + base - buckets)
+    named = spark.createDataFrame(rows, "key long, own_shard int, first int, parts int")
 
     def sums(values: list[Column]) -> Column:
         out = F.lit(0)
@@ -111,21 +125,19 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = out + v
         return out
 
-    shard = sums([(F.col("_key") >= F.lit(c)).cast("int") for c in cut])
-    bounds = [LOW, *cut, HIGH]
-    lows = F.array(*[F.lit(float(b)) for b in bounds])
-    lo, hi = F.element_at(lows, F.col("_shard") + 1), F.element_at(lows, F.col("_shard") + 2)
-    inside = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor((F.col("_key").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * buckets).cast("int")))
-    is_heavy = F.col("_hshard").isNotNull()
-    own = F.lit(buckets) + F.col("_hrank") * 4096 + F.pmod(F.xxhash64(F.col(id_col)), F.col("_hsalts")).cast("int")
-    dealt = keyed.join(F.broadcast(named), F.col("_key") == F.col("_hkey"), "left")
-    dealt = dealt.withColumn("_shard", F.coalesce("_hshard", shard)).withColumn("_bucket", F.when(is_heavy, own).otherwise(inside))
-    dealt = dealt.drop("_hkey", "_hshard", "_hrank", "_hsalts")
-    counts = dealt.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("_shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    starts = counts.select(F.col("_shard").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    exchanged = dealt.repartition(C.parallelism(spark), "_shard", "_bucket")
-    nth = F.row_number().over(W.partitionBy("_shard", "_bucket").orderBy("_key", id_col)) - 1
-    ranked = exchanged.withColumn("_nth", nth.cast("long"))
-    joined = ranked.join(F.broadcast(starts), (F.col("_shard") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn("_slot", F.col("_nth") + F.col("_before")).drop("_s", "_b", "_before", "_nth", "_key", "_bucket")
+    shard = sums([(F.col("key") >= F.lit(c)).cast("int") for c in cut])
+    lows = F.array(*[F.lit(float(b)) for b in [LOW, *cut, HIGH]])
+    lo, hi = F.element_at(lows, F.col("shard") + 1), F.element_at(lows, F.col("shard") + 2)
+    inside = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor((F.col("key").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * buckets).cast("int")))
+    own = F.col("first") + F.pmod(F.xxhash64("id", "row"), F.col("parts")).cast("int")
+    dealt = keyed.join(F.broadcast(named), "key", "left").withColumn("shard", F.coalesce("own_shard", shard))
+    dealt = dealt.select("row", "id", "size", "key", "shard", F.when(F.col("own_shard").isNotNull(), own).otherwise(inside).alias("bucket"))
+    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("key", "id")) - 1
+    ranked = dealt.repartition(width, "shard", "bucket").withColumn("nth", nth.cast("long"))
+    if shards * buckets + base <= 500_000:  # 16 bytes each
+        starts = F.broadcast(starts)
+    joined = ranked.join(starts, ["shard", "bucket"])
+    return joined.select("row.*", F.col("size").alias(size_name), F.col("shard").cast("int").alias(shard_name), (F.col("nth") + F.col("before")).alias(slot_name))
