@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,13 +156,14 @@ def calibrate(tree: Tree, points: dict[int, np.ndarray], truth: list[tuple[int,
     return ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] if ranks else 1
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, recall: float = 0.94) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found to each row whose id is divisible by every.
 
     Score is the Euclidean distance in double precision on the original
     vectors; ties go to the smaller id. Vectors that are null, zero, or hold
-    null or non-finite components take no part, nor do null ids, nor vectors
-    whose length is not the most common one. Rows that share the query's id are
+    null or non-finite components take no part, nor do null ids. A vector's
+    neighbours have its length; the tree holds those of the most common length,
+    the others are searched whole, in blocks. Rows that share the query's id are
     its own and no candidates; they are asked as one query, and a repeated
     candidate counts once, each by the smallest score among its rows. An empty table gives no row; fewer than k
     candidates are all returned.
@@ -172,47 +174,52 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = common["dim"]
-    rows = rows.where(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()
+    sample = rows.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()
     tree = Tree(np.array([r["v"] for r in sample], np.float64))
     shared = spark.sparkContext.broadcast(tree)
 
     def deal(batches):
         for batch in batches:
-            leaf = shared.value.assign(matrix(batch.column(1), dim))
+            length = pc.list_value_length(batch.column(1)).to_numpy()
+            leaf = -length.astype(np.int64)  # of another length: all in one leaf, named by it
+            same = length == dim
+            if same.any():
+                leaf[same] = shared.value.assign(matrix(batch.column(1).filter(pa.array(same)), dim))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["id", "v", "leaf"])
 
     kind = rows.schema["v"].dataType.simpleString()
     dealt = C.stored(rows.mapInArrow(deal, f"id long, v {kind}, leaf long"), "leaves")
     chosen = [(r["id"], list(r["v"])) for r in sample[:CALIBRATE_ROWS]]
-    near = exact(dealt, chosen, dim, k).select("query_id", "id")
+    near = exact(dealt.where("leaf >= 0"), chosen, dim, k).select("query_id", "id")
     truth = [(r["query_id"], r["leaf"]) for r in dealt.select("id", "leaf").join(F.broadcast(near), "id").select("query_id", "leaf").collect()]
     visits = calibrate(tree, {q: np.array(v) for q, v in chosen}, truth, recall)
 
-    size = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf of the bounded tree
-    blocks = np.array([max(1, -(-size.get(i, 0) // BLOCK)) for i in range(tree.leaves)], np.int64)
+    # One row a leaf of the bounded tree, and one a length of vectors.
+    blocks = {r["leaf"]: -(-r["n"] // BLOCK) for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
 
     def block(batches):
         for batch in batches:
             ids, leaf = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            at = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[leaf]
+            named, which = np.unique(leaf, return_inverse=True)
+            parts = np.array([blocks[x] for x in named.tolist()], np.int64)[which]
+            at = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["id", "v", "leaf", "block"])
 
-    def walk(batches):
+    def walk(batches, visits=visits):
         for batch in batches:
-            points = matrix(batch.column(1), dim)
-            bins = [tree.best_bins(p, visits) for p in points]
-            rows = np.repeat(np.arange(len(bins)), [int(blocks[b].sum()) for b in bins])
-            leaf = np.array([x for b in bins for x in b for _ in range(blocks[x])], np.int64)
-            at = np.array([j for b in bins for x in b for j in range(blocks[x])], np.int64)
+            asking = [tree.best_bins(np.array(v, float), visits) if home >= 0 else [home] for v, home in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            bins = [[(x, j) for x in b for j in range(blocks.get(x, 0))] for b in asking]
+            rows = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
             picked = pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "v"]).take(pa.array(rows))
+            leaf, at = (np.array([place[i] for b in bins for place in b], np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(leaf), pa.array(at)], names=["query_id", "v", "qleaf", "qblock"])
 
     def scan(key, members, asked):
         out_q, out_id, out_score = [], [], []
         if len(members) and len(asked):
-            ids, points = members.column("id").to_numpy(), matrix(members.column("v").combine_chunks(), dim)
-            queries = matrix(asked.column("v").combine_chunks(), dim)
+            length = dim if key[0].as_py() >= 0 else -key[0].as_py()
+            ids, points = members.column("id").to_numpy(), matrix(members.column("v").combine_chunks(), length)
+            queries = matrix(asked.column("v").combine_chunks(), length)
             repeated = len(np.unique(ids)) < len(ids)
             for q, v in zip(asked.column("query_id").to_pylist(), queries):
                 score = distances(points, v)
@@ -228,7 +235,19 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return pa.table({"query_id": join(out_q, np.int64), "id": join(out_id, np.int64), "score": join(out_score, np.float64)})
 
     members = dealt.mapInArrow(block, f"id long, v {kind}, leaf long, block long")
-    asked = dealt.where(F.col("id") % every == 0).mapInArrow(walk, f"query_id long, v {kind}, qleaf long, qblock long")
-    found = members.groupBy("leaf", "block").cogroup(asked.groupBy("qleaf", "qblock")).applyInArrow(scan, "query_id long, id long, score double")
-    found = top(found.groupBy("query_id", "id").agg(F.min("score").alias("score")), k)
+    queries = dealt.where(F.col("id") % every == 0)
+
+    def nearest(queries, walk):
+        asked = queries.mapInArrow(walk, f"query_id long, v {kind}, qleaf long, qblock long")
+        found = members.groupBy("leaf", "block").cogroup(asked.groupBy("qleaf", "qblock")).applyInArrow(scan, "query_id long, id long, score double")
+        return top(found.groupBy("query_id", "id").agg(F.min("score").alias("score")), k)
+
+    found = nearest(queries, walk)
+    if visits < tree.leaves:
+        found = C.stored(found, "found")
+        enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+        short = C.stored(queries.join(enough, "id", "left_anti"), "short")
+        if short.where("leaf >= 0").limit(1).count():  # their leaves hold fewer than k others: they visit all
+            rest = nearest(short, lambda batches: walk(batches, tree.leaves))
+            found = found.join(enough.withColumnRenamed("id", "query_id"), "query_id").select("query_id", "id", "score", "rank").unionByName(rest)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
