@@ -219,9 +219,9 @@ def taught(b: Block) -> int | None:
 
 def learn(rows: list[tuple[float, ...]], labels: list[int]) -> tuple[float, ...]:
     """Logistic regression by Newton steps, slightly drawn to 0; classes weigh alike; UNTAUGHT unless both are there."""
-    x, y = np.array(rows).reshape(len(rows), -1), np.array(labels, float)
-    if not len(y) or y.min() == y.max():
+    if len(set(labels)) < 2:
         return UNTAUGHT
+    x, y = np.array(rows), np.array(labels, float)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-2 * len(y))
     for _ in range(25):

@@ -298,3 +298,103 @@ def test_tree_finds_what_every_pair_would(spark):
         assert set(sized.tolist()) <= set(got.tolist()) <= set(want.tolist())
         seen += len(got)
     assert seen > 24
+
+
+def ranked(links, seeds, damping=0.85, forward=True, averaged=False):
+    """Power iteration in NumPy: mass along links (or against them), divided by the sender's links (or averaged over the receiver's)."""
+    hosts = sorted({h for link in links for h in link} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b in links:
+        a, b = (a, b) if forward else (b, a)
+        m[at[b], at[a]] += 1
+    total = m.sum(axis=1 if averaged else 0)
+    m = m / np.where(total > 0, total, 1)[:, None] if averaged else m / np.where(total > 0, total, 1)
+    base = np.array([seeds.get(h, 0.0) for h in hosts]) * (1 - damping)
+    x = base
+    for _ in range(300):
+        x = base + damping * m @ x
+    return dict(zip(hosts, x))
+
+
+def test_url_trust_equals_power_iteration(spark, monkeypatch):
+    from larkspur.llm import url_trust as U
+    from larkspur.llm.queries import RULES
+
+    monkeypatch.setattr(U, "HUB_LINKS", 4)  # so that hosts of four links are dealt into parts
+    rng = np.random.default_rng(6)
+    hosts = [f"h{i}.org" for i in range(30)] + ["a.com", "b.com", "bad.net", "worse.net"]
+    links = [(str(a), str(b)) for a, b in rng.choice(hosts, (160, 2)) if a != b]
+    path = {"bad.net": "/es/", "worse.net": "/fr/x"}
+    pages = [(i, f"http://{h}{path.get(h, '/')}", "".join(f'<a class=x href="https://{b}/y">' for a, b in links if a == h), "extra") for i, h in enumerate(hosts)]
+    got = {r["host"]: r for r in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string, leads string"), RULES, tolerance=1e-10, rounds=200).collect()}
+    good, evil = {"a.com": 1.0, "b.com": 1.0}, {"bad.net": 1.0, "worse.net": 1.0}
+    want = {"trust": ranked(links, good), "distrust": ranked(links, evil, forward=False), "leads": ranked(links, evil, forward=False, averaged=True), "vouched": ranked(links, good, averaged=True)}
+    for h in hosts:
+        leads, vouched = want["leads"].get(h, 0) / 0.15, want["vouched"].get(h, 0) / 0.15
+        assert abs(got[h]["trust"] - want["trust"].get(h, 0)) < 1e-6 and abs(got[h]["distrust"] - want["distrust"].get(h, 0)) < 1e-6
+        assert abs(got[h]["leads"] - leads) < 1e-6 and abs(got[h]["vouched"] - vouched) < 1e-6
+        if got[h]["rule"] is None:
+            assert got[h]["verdict"] == ("block" if leads - vouched > 0.5 else "allow")
+
+
+def test_url_trust_by_distance_and_odd_tables(spark):
+    from larkspur.llm.queries import RULES
+    from larkspur.llm.url_trust import judge
+
+    link = lambda h: f'<a href="//{h}/x">'
+    chain = [(i, f"http://far{i}.org/", link(f"far{i - 1}.org" if i > 1 else "bad.net")) for i in range(1, 8)]
+    pages = [*chain, (0, "http://bad.net/fr/", None), (8, "http://a.com/", link("far1.org")), (9, "http://a.com/", None), (9, "http://a.com/", None), (None, "://", ""), (None, None, None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [(r["page_id"], r["verdict"]) for r in judge(table, RULES).collect()]
+    said = dict(got)
+    assert len(got) == len(pages) and [said[i] for i in range(1, 8)] == ["allow", "block", "block", "block", "allow", "allow", "allow"] and said[0] == "block" and got.count((9, "allow")) == 2 and got.count((None, "allow")) == 2
+    assert judge(table.limit(0), RULES).count() == 0
+
+
+def test_nearest_of_ties_lengths_and_clashing_names(spark):
+    from larkspur.llm.nearest import search
+
+    ties = [(i, [1.0, float(i % 2)]) for i in range(1, 24)] + [(100, [1.0, 0.0])]
+    odd = [(200, [1.0, 1.0, 1.0]), (201, [1.0, 1.0, 2.0]), (202, [2.0, 1.0, 1.0]), (300, [5.0])]
+    table = spark.createDataFrame([(i, v, "x", 3) for i, v in ties + odd], "vec_id long, embedding array<float>, leaf string, id int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in search(table).collect())
+    assert [g[2] for g in got if g[0] == 100] == [2, 4, 6, 8, 10, 12, 14, 16, 18, 20] and [g[1:] for g in got if g[0] == 200] == [(1, 201, 1.0), (2, 202, 1.0)]
+    assert not [g for g in got if g[0] == 300]
+
+
+def test_nearest_scans_a_small_share_of_clustered_vectors():
+    from larkspur.llm import nearest as N
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(150, 32))
+    points = np.repeat(centres, 40, axis=0) + rng.normal(size=(6000, 32)) * 0.15
+    tree = N.Tree(points)
+    leaf = tree.assign(points)
+    size = np.bincount(leaf, minlength=tree.leaves)
+    asked = rng.permutation(6000)[:60]
+    truth = []
+    for q in asked.tolist():
+        score = N.distances(points, points[q])
+        score[q] = np.inf
+        truth += [(q, int(leaf[i])) for i in N.smallest(score, np.arange(6000), 10)]
+    visits = N.calibrate(tree, {q: points[q] for q in asked.tolist()}, truth, 0.94)
+    seen = {q: tree.best_bins(points[q], visits) for q in asked.tolist()}
+    assert np.mean([leaf in seen[q] for q, leaf in truth]) >= 0.9
+    assert np.mean([size[b].sum() for b in seen.values()]) < 0.2 * 6000
+
+
+def test_sharding_of_clashing_names_and_one_large_group(spark):
+    from larkspur.llm.sharding import shard_by_bytes
+
+    rows = [(i if i % 9 else None, "same text" if i % 3 == 0 else f"text {i} " * (i % 50), "a", 5, "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _size string, key int, _hshard string")
+    got = shard_by_bytes(docs, bucket_rows=100).collect()
+    assert shard_by_bytes(docs).columns == [*docs.columns, "__size", "_shard", "_slot"]
+    load = {}
+    for r in got:
+        load.setdefault(r["_shard"], []).append((r["_slot"], r["__size"]))
+        assert r["__size"] == len(r["text"]) + 1
+    total = sum(s for x in load.values() for _, s in x)
+    assert len(got) == 3000 and all(sorted(p for p, _ in x) == list(range(len(x))) for x in load.values())
+    assert all(abs(sum(s for _, s in x) - total / 8) < 0.01 * total for x in load.values()) and len({r["_shard"] for r in got if r["text"] == "same text"}) == 1
