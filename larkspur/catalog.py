@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,23 +99,12 @@ def topk_threshold(spark, d):
     return rounded(S.find_similar(others(spark, d), vector_zero(spark, d), 1000, threshold=0.30))
 
 
-@query(
-    "WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT q.qid::VARCHAR AS query_id, e.vec_id::VARCHAR AS identifier, "
-    + COS
-    + " AS score FROM embeddings e JOIN q ON e.vec_id <> q.qid), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, identifier)::INT AS rank FROM s) SELECT query_id, identifier, round(score, 6) AS score, rank FROM r WHERE rank <= 5"
-)
-def topk_multi_query(spark, d):
-    v = vectors(spark, d)
-    queries = v.where(F.col("identifier").cast("long") < 10).select(F.col("identifier").alias("query_id"), F.col("vector").alias("query"))
-    return rounded(S.find_similar_many(v, queries, exclude_self=True))
-
-
 @query(
     "WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.qid::VARCHAR AS query_id, e.vec_id::VARCHAR AS identifier, "
     + COS
     + " AS score FROM embeddings e JOIN q ON e.vec_id <> q.qid), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, identifier)::INT AS rank FROM s) SELECT query_id, identifier, round(score, 6) AS score, rank FROM r WHERE rank <= 5"
 )
-def topk_multi_query_every_50th(spark, d):
+def topk_multi_query(spark, d):
     v = vectors(spark, d)
     queries = v.where(F.col("identifier").cast("long") % 50 == 0).select(F.col("identifier").alias("query_id"), F.col("vector").alias("query"))
     return rounded(S.find_similar_many(v, queries, exclude_self=True))
@@ -227,12 +219,28 @@ def paragraph_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", chunks.alias("c")).select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|").cast("binary")).alias("h"))
 
 
-@query()
+def windows_sql(size: int, overlap: int, tail: str) -> str:
+    """One window a step, cut behind the last sentence sign of its last 120 characters."""
+    space = "E' \\t\\n\\r\\x0b'"
+    last = lambda sign: f"(CASE WHEN strpos(reverse(seg), ' {sign}') > 0 THEN length(seg) - strpos(reverse(seg), ' {sign}') - 1 ELSE 0 END)"
+    stop = "to_ >= n" if tail == "stop" else "false"
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, trim(coalesce(text, ''), {space}) AS x FROM documents),
+    w(doc_id, x, n, i, done) AS (SELECT doc_id, x, length(x), 0::BIGINT, CASE WHEN length(x) BETWEEN 1 AND {size} THEN [x] ELSE []::VARCHAR[] END FROM t
+      UNION ALL SELECT doc_id, x, n, CASE WHEN {stop} THEN n ELSE greatest(i + 1, to_ - {overlap}) END, CASE WHEN piece <> '' THEN list_append(done, piece) ELSE done END FROM (
+        SELECT *, trim(substring(x, i + 1, to_ - i), {space}) AS piece FROM (
+          SELECT *, CASE WHEN edge < n AND greatest({last('.')}, {last('?')}, {last('!')}) > 0 THEN back + greatest({last('.')}, {last('?')}, {last('!')}) + 2 ELSE edge END AS to_ FROM (
+            SELECT *, substring(x, back + 1, edge - back) AS seg FROM (
+              SELECT *, greatest(i, edge - 120) AS back FROM (SELECT *, least(i + {size}, n) AS edge FROM w WHERE n > {size} AND i < n)))))),
+    e AS (SELECT doc_id, done FROM w WHERE n <= {size} OR i >= n)
+    SELECT doc_id, len(done)::INT AS n, md5(array_to_string(done, '|')) AS h FROM e"""
+
+
+@query(windows_sql(800, 100, "reference"))
 def sliding_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", CH.windows(800, 100)("text").alias("c")).select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|").cast("binary")).alias("h"))
 
 
-@query()
+@query(windows_sql(800, 100, "stop"))
 def sliding_chunks_stop_at_end(spark, d):
     return table(spark, d, "documents").select("doc_id", CH.windows(800, 100, "stop")("text").alias("c")).select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|").cast("binary")).alias("h"))
 
@@ -268,9 +276,8 @@ def stale_sweep(spark, d):
 
 @query("SELECT count(*) FILTER (doc_id % 4 = 0 AND doc_id % 10 IN (0, 2, 4)) AS deleted, count(*) FILTER (NOT (doc_id % 4 = 0 AND doc_id % 10 IN (0, 2, 4))) AS kept FROM documents")
 def delete_chunked(spark, d):
-    store = chunk_store(spark, d)
-    own = CH.own_chunks(store, parents(spark)).select("collection", "identifier", F.lit(1).alias("own"))
-    return store.join(own, ["collection", "identifier"], "left").agg(F.count("own").alias("deleted"), F.count_if(F.col("own").isNull()).alias("kept"))
+    kept, n = CH.delete_chunked(chunk_store(spark, d), parents(spark))
+    return kept.agg(F.lit(n).cast("long").alias("deleted"), F.count("*").alias("kept"))
 
 
 def live(spark, d) -> DataFrame:
@@ -345,9 +352,12 @@ def history_truncate(spark, d):
     return R.truncate(table(spark, d, "conversations"), 2).select("conv_id", "turn", "role")
 
 
-@query("SELECT role, role IN ('user', 'assistant') AS accepted, count(*) AS n FROM conversations GROUP BY ALL")
+@query("SELECT role, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role")
 def history_roles(spark, d):
-    return table(spark, d, "conversations").groupBy("role", F.col("role").isin(*R.ROLES).alias("accepted")).agg(F.count("*").alias("n"))
+    """Roles as appending checks them: another role would raise."""
+    rows = table(spark, d, "conversations").where(F.col("role").isin(*R.ROLES))
+    none = F.array().cast("array<struct<role: string, content: string>>")
+    return rows.select(F.element_at(R.append(none, F.col("role"), F.col("text")), -1)["role"].alias("role")).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, 'system' AS first_role, list(role ORDER BY turn)[1] AS next_role, 'Documents:' || E'\\n\\n' || 'b1' || E'\\n\\n' || 'b2' || E'\\n\\n' || 'Question: ' || conv_id AS asked, count(*)::INT + 2 AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
@@ -375,30 +385,117 @@ def sse_parse(spark, d):
     return R.parse_streams(pieces)
 
 
-@query("SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'packed' WHEN 1 THEN 'converted' ELSE 'failed' END AS status, CASE vec_id % 4 WHEN 2 THEN 1700004003 WHEN 3 THEN 1700004004 END AS error FROM embeddings")
+@query("SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'packed' WHEN 1 THEN 'converted' ELSE 'failed' END AS status, CASE vec_id % 4 WHEN 2 THEN 1700004003 WHEN 3 THEN 1700004004 END AS error, CASE WHEN vec_id % 4 = 0 THEN 1.0 WHEN vec_id % 4 = 1 THEN round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings")
 def legacy_migrate(spark, d):
     n, v = F.col("vec_id") % 4, F.col("embedding")
     blob = F.when(n == 0, F.unhex(F.lit("0000803f"))).when(n == 1, F.to_json(v).cast("binary")).when(n == 2, F.lit("[0.1,").cast("binary")).otherwise(F.lit("[]").cast("binary"))
-    return MA.migrate(table(spark, d, "embeddings").select("vec_id", blob.alias("vector"))).select("vec_id", "status", "error")
+    moved = MA.migrate(table(spark, d, "embeddings").select("vec_id", blob.alias("vector")))
+    first = F.when(F.col("error").isNull(), F.round(F.element_at(CO.unpack("vector")["vector"], 1).cast("double"), 6))
+    return moved.select("vec_id", "status", "error", first.alias("first"))
 
 
-@query("SELECT vec_id, 64 AS n, true AS same FROM embeddings")
+@query("SELECT vec_id, 4 * len(embedding) AS bytes, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS vector FROM embeddings")
 def codec_roundtrip(spark, d):
-    got = table(spark, d, "embeddings").select("vec_id", "embedding", CO.unpack(CO.pack("embedding")).alias("u"))
-    return got.select("vec_id", F.size("u.vector").alias("n"), (F.col("u.vector") == F.col("embedding")).alias("same"))
+    packed = table(spark, d, "embeddings").select("vec_id", CO.pack("embedding").alias("blob")).select("vec_id", "blob", CO.unpack("blob").alias("u"))
+    return packed.select("vec_id", F.length("blob").cast("long").alias("bytes"), F.transform("u.vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
 
 
-@query("SELECT doc_id, md5('docs|' || md5(text) || '|5|false') AS cache_key FROM documents")
+@query("SELECT doc_id, md5('[\"docs\", \"' || doc_id || '\", 5, [[\"lang\", \"' || lang || '\"], [\"n\", 1]], false, 3]') AS cache_key FROM documents")
 def cache_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(F.concat(F.lit("docs|"), F.md5(F.col("text").cast("binary")), F.lit("|5|false")).cast("binary")).alias("cache_key"))
+    @F.pandas_udf("string")
+    def key(ids: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series([MA.ResultCache.key("docs", str(i), 5, {"n": 1, "lang": lang}, False, 3) for i, lang in zip(ids, langs)])
+
+    return table(spark, d, "documents").select("doc_id", key("doc_id", "lang").alias("cache_key"))
+
 
+#: The offline embedding in SQL: words' md5 gives bucket and sign, sums are scaled to unit length in single precision.
+EMBEDDED = f"""WITH n AS (SELECT doc_id::VARCHAR AS identifier, md5({NORM}) AS content_hash, {NORM} AS x FROM documents),
+    w AS (SELECT identifier, md5(word) AS h FROM (SELECT identifier, unnest(string_split(lower(x), ' ')) AS word FROM n) WHERE word <> ''),
+    s AS (SELECT identifier, ('0x' || substring(h, 1, 7))::BIGINT % 64 AS b, sum(CASE WHEN substring(h, 8, 1) < '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM w GROUP BY ALL),
+    l AS (SELECT identifier, sqrt(sum(v * v)) AS size FROM s GROUP BY identifier),
+    f AS (SELECT n.identifier, n.content_hash, g.b, coalesce(s.v, 0.0) AS v, coalesce(l.size, 0.0) AS size FROM n CROSS JOIN range(64) g(b) LEFT JOIN s ON s.identifier = n.identifier AND s.b = g.b LEFT JOIN l ON l.identifier = n.identifier)
+    SELECT identifier, content_hash, list(round((CASE WHEN size > 0 THEN v / size ELSE v END)::FLOAT::DOUBLE, 5) ORDER BY b) AS vector FROM f GROUP BY ALL"""
 
-@query()
+
+@query(EMBEDDED)
 def ingest_embeddings(spark, d):
     empty = spark.createDataFrame([], ST.SCHEMA)
     return I.ingest(empty, doc_rows(spark, d)).select("identifier", "content_hash", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
 
 
-@query("SELECT doc_id::VARCHAR AS identifier FROM documents WHERE starts_with(doc_id::VARCHAR, '1')")
+def scratch_store(spark) -> ST.VectorStore:
+    """An empty store in the folder that driver and executors share; one of our own only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
+    return ST.VectorStore(spark, f"{folder.rstrip('/')}/larkspur/store-{uuid.uuid4().hex}")
+
+
+def written_store(spark, d) -> ST.VectorStore:
+    """A store of all documents after three commits: everything, a metadata change, deletions."""
+    store, rows = scratch_store(spark), stored_docs(spark, d).withColumn("collection", F.when(F.col("identifier").cast("long") % 2 == 0, "even").otherwise("odd"))
+    n = F.col("identifier").cast("long")
+    store.commit(rows, expected=0)
+    store.commit(ST.update_metadata(store.read(), rows.where(n % 4 == 0).select(*ST.KEY, F.lit('{"a":1}').alias("metadata")), 9), expected=1)
+    store.commit(ST.delete(store.read(), rows.where(n % 5 == 0))[0], expected=2)
+    return store
+
+
+KEPT = "SELECT doc_id, doc_id::VARCHAR AS identifier, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS collection, CASE WHEN doc_id % 4 = 0 THEN '{\"a\":1}' ELSE '{\"lang\":\"' || lang || '\"}' END AS metadata, CASE WHEN doc_id % 4 = 0 THEN 9 ELSE 1 END::BIGINT AS tstamp, md5(" + NORM + ") AS content_hash FROM documents WHERE doc_id % 5 <> 0"
+
+
+@query(f"SELECT identifier, metadata, tstamp, content_hash FROM ({KEPT}) WHERE collection = 'even'")
+def store_scan(spark, d):
+    return written_store(spark, d).scan("even").select("identifier", "metadata", "tstamp", "content_hash")
+
+
+@query(f"SELECT d.doc_id::VARCHAR AS identifier, k.content_hash, k.metadata FROM documents d LEFT JOIN ({KEPT}) k ON k.doc_id = d.doc_id AND k.collection = 'odd'")
+def store_lookup(spark, d):
+    keys = table(spark, d, "documents").select(F.lit("odd").alias("collection"), F.col("doc_id").cast("string").alias("identifier"))
+    return written_store(spark, d).lookup(keys, "content_hash", "metadata").select("identifier", "content_hash", "metadata")
+
+
+@query(f"SELECT identifier FROM ({KEPT}) WHERE collection = 'odd'")
+def store_identifiers(spark, d):
+    return written_store(spark, d).identifiers("odd")
+
+
+@query("SELECT * FROM (VALUES ('odd', '1', true), ('odd', '5', false), ('even', '2', true), ('even', '3', false)) t(collection, identifier, found)")
+def store_exists(spark, d):
+    store = written_store(spark, d)
+    asked = [("odd", "1"), ("odd", "5"), ("even", "2"), ("even", "3")]
+    return spark.createDataFrame([(c, i, store.exists(c, i)) for c, i in asked], "collection string, identifier string, found boolean")
+
+
+@query(f"SELECT identifier FROM ({KEPT}) WHERE collection = 'odd' AND starts_with(identifier, '1')")
 def prefix_scan(spark, d):
-    return stored_docs(spark, d).where(F.col("identifier").startswith("1")).select("identifier")
+    return written_store(spark, d).by_prefix("odd", "1")
+
+
+@query(f"SELECT collection, count(*) AS cnt, max(tstamp) AS last_indexed FROM ({KEPT}) GROUP BY collection")
+def store_stats(spark, d):
+    return MA.stats(written_store(spark, d).read())
+
+
+@query("SELECT doc_id || '_chunk_' || i AS identifier, string_split(text, E'\\n')[i + 1] AS line, 7::BIGINT AS tstamp FROM (SELECT doc_id, text, unnest(range(len(string_split(text, E'\\n')))) AS i FROM documents) UNION ALL SELECT 'other', 'x', 1")
+def ingest_chunked_rows(spark, d):
+    """Chunks of all documents by line; stale chunks and the bare row that they replace go, other rows stay."""
+    docs = doc_rows(spark, d)
+    before = spark.createDataFrame([("docs", "1_chunk_9999"), ("docs", "1"), ("docs", "other")], "collection string, identifier string")
+    one = F.array(F.lit(1.0).cast("float"))
+    before = before.select(*ST.KEY, one.alias("vector"), F.lit("h").alias("content_hash"), F.lit("x").alias("metadata"), F.lit(1).cast("long").alias("tstamp"))
+    lines = F.split("text", "\n")
+    made = I.ingest_chunked(before, docs, lines, now=7, replace_bare=True)
+    texts = CH.chunk_rows(docs, "identifier", lines).select("identifier", F.col("text").alias("line"))
+    return made.join(texts, "identifier", "left").select("identifier", F.coalesce("line", "metadata").alias("line"), "tstamp")
+
+
+@query("SELECT doc_id::VARCHAR AS identifier, CASE WHEN doc_id % 2 = 0 THEN 9 ELSE 1 END::BIGINT AS tstamp FROM documents")
+def upsert_repeated_keys(spark, d):
+    """A batch that holds keys twice: the later row of each is stored, once."""
+    old = stored_docs(spark, d)
+    new = old.where(F.col("identifier").cast("long") % 2 == 0)
+    return ST.upsert(old, new.withColumn("tstamp", F.lit(5).cast("long")).unionByName(new.withColumn("tstamp", F.lit(9).cast("long")))).select("identifier", "tstamp")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 PROVIDERS = ("llamacpp", "ollama", "openai")
@@ -15,6 +16,12 @@ def _number(value, default: int, positive: bool = True) -> int:
     return default if positive and n <= 0 else n
 
 
+def _decimal(text: str) -> float:
+    """The number that a text begins with, else 0."""
+    found = re.match(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?", text)
+    return float(found[0]) if found else 0.0
+
+
 @dataclass(frozen=True)
 class Config:
     embedding_server_url: str = "http://localhost:8080"
@@ -50,7 +57,7 @@ class Config:
             elif name == "query_cache_ttl":
                 out[name] = max(0, _number(text, default, positive=False))
             elif name == "semantic_threshold":
-                out[name] = float(text or 0)
+                out[name] = _decimal(text)
             elif name.endswith("_provider"):
                 out[name] = text.lower() if text.lower() in PROVIDERS else "llamacpp"
             elif name == "system_prompt":

@@ -89,3 +89,9 @@ def own_chunks(store: DataFrame, parents: DataFrame) -> DataFrame:
 def stale(store: DataFrame, current: DataFrame, parents: DataFrame) -> DataFrame:
     """Stored own chunks of the parents that the current chunks no longer hold."""
     return own_chunks(store, parents).join(current.select("identifier"), "identifier", "left_anti")
+
+
+def delete_chunked(store: DataFrame, parents: DataFrame) -> tuple[DataFrame, int]:
+    """What stays when the parents' own chunks go, and how many rows went."""
+    gone = own_chunks(store, parents).select("collection", "identifier")
+    return store.join(gone, ["collection", "identifier"], "left_anti"), gone.count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +31,33 @@ def checked_role(role: Column) -> Column:
     return F.when(role.isin(*ROLES), role).otherwise(F.raise_error(F.lit(f"role must be user or assistant [{E.HISTORY_ROLE}]")).cast("string"))
 
 
+def append(messages: Column, role: Column, content: Column) -> Column:
+    """messages (array<struct<role, content>>) and one more; another role than user or assistant raises."""
+    return F.concat(messages, F.array(F.struct(checked_role(role).alias("role"), content.alias("content"))))
+
+
+@dataclass(frozen=True)
+class History:
+    """A conversation on the driver; every change gives a new one."""
+
+    messages: tuple[dict, ...] = ()
+
+    def append(self, role: str, content: str) -> History:
+        if role not in ROLES:
+            raise E.EngineError("role must be user or assistant", E.HISTORY_ROLE)
+        return History((*self.messages, {"role": role, "content": content}))
+
+    def truncated(self, max_turns: int) -> History:
+        return History(self.messages[-2 * max_turns :] if max_turns > 0 else ())
+
+
+def messages(query: str, blocks: list[str], history: History | None = None, system: str | None = None, configured: str | None = None) -> list[dict]:
+    """build_messages() for one question on the driver."""
+    prompt = next(p for p in (system, configured, DEFAULT_PROMPT) if p is not None)
+    asked = "\n\n".join(["Documents:", "\n\n".join(blocks), f"Question: {query}"])
+    return [{"role": "system", "content": prompt}, *(history or History()).messages, {"role": "user", "content": asked}]
+
+
 def build_messages(query: Column, blocks: Column, history: Column | None = None, system: str | None = None, configured: str | None = None) -> Column:
     """[system] + history + the user's documents and question, as array<struct<role, content>>."""
     prompt = next(p for p in (system, configured, DEFAULT_PROMPT) if p is not None)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import metadata as M
 from larkspur.functions.text import content_hash, normalise
 from larkspur.operators.chunking import chunk_rows, stale
-from larkspur.sources.store import KEY, update_metadata, upsert
+from larkspur.sources.store import KEY, latest, update_metadata, upsert
 
 
 def actions(store: DataFrame, docs: DataFrame, limit: int = 6000) -> DataFrame:
@@ -31,7 +31,7 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
+        known: dict[str, tuple[int, float]] = {}  # words of this batch alone
 
         def one(text: str | None) -> np.ndarray:
             out = np.zeros(dim)
@@ -51,9 +51,9 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
 
 
 def ingest(store: DataFrame, docs: DataFrame, embed=hashed_embedding, now: int = 0) -> DataFrame:
-    """The next snapshot; only rows whose text changed are embedded, unchanged rows keep their tstamp."""
+    """The next snapshot; only rows whose text changed are embedded, once an id, unchanged rows keep their tstamp."""
     plan = actions(store, docs)
-    made = plan.where("action = 'embed'").select(*KEY, embed(F.col("text")).alias("vector"), "content_hash", "metadata", F.lit(now).cast("long").alias("tstamp"))
+    made = latest(plan.where("action = 'embed'"), "content_hash").select(*KEY, embed(F.col("text")).alias("vector"), "content_hash", "metadata", F.lit(now).cast("long").alias("tstamp"))
     return upsert(update_metadata(store, plan.where("action = 'metadata'"), now), made)
 
 

@@ -63,8 +63,13 @@ def reindex(handlers: Iterable, collection: str | None = None, continue_on_error
 
 
 def migrate(rows: DataFrame, column: str = "vector") -> DataFrame:
-    """JSON vectors become packed ones in one pass; status: packed, converted, or failed with its error code."""
-    legacy = F.col(column).cast("string").startswith("[")
+    """JSON vectors become packed ones in one pass; status: packed, converted, or failed with its error code.
+
+    A packed vector may begin with the byte of ``[`` by chance: such a blob is
+    taken for JSON only if it parses as JSON, or can't be packed floats.
+    """
+    text = F.col(column).cast("string")
+    legacy = text.startswith("[") & (F.try_parse_json(text).isNotNull() | (F.length(column) % 4 != 0))
     tried = rows.withColumn("_got", F.when(legacy, codec.repack(F.col(column))))
     status = F.when(F.coalesce(legacy, F.lit(False)), F.when(F.col("_got.error").isNull(), "converted").otherwise("failed")).otherwise("packed")
     return tried.withColumn("status", status).withColumn("error", F.col("_got.error")).withColumn(column, F.coalesce("_got.blob", column)).drop("_got")
@@ -73,8 +78,8 @@ def migrate(rows: DataFrame, column: str = "vector") -> DataFrame:
 class ResultCache:
     """Results keyed by arguments and snapshot version, with a lifetime; 0 switches it off."""
 
-    def __init__(self, ttl: int = 3600, clock: Callable[[], float] = time.time):
-        self.ttl, self.clock, self.held = ttl, clock, {}
+    def __init__(self, ttl: int = 3600, clock: Callable[[], float] = time.time, most: int = 10_000):
+        self.ttl, self.clock, self.most, self.held = ttl, clock, most, {}
 
     @staticmethod
     def key(collection: str, query: str, top_k: int, filters: dict | None, collapse: bool, version: int = 0) -> str:
@@ -86,4 +91,10 @@ class ResultCache:
 
     def put(self, key: str, value) -> None:
         if self.ttl:
+            self.held.pop(key, None)
+            while len(self.held) >= self.most:
+                del self.held[next(iter(self.held))]  # the oldest
             self.held[key] = (value, self.clock() + self.ttl)
+
+    def flush(self) -> None:
+        self.held.clear()

@@ -1,17 +1,23 @@
 """Vector store as Parquet snapshots partitioned by collection.
 
-Layout: <root>/v<n>/collection=<c>/...; the highest version with a _SUCCESS
-mark is current, so a snapshot appears whole or not at all, and a reader that
-has resolved its version never sees a later one.
+Layout: <root>/data-<id>/collection=<c>/... hold snapshots, and <root>/_log/<n>
+names the folder of version n. A snapshot is written in full under a name of its
+own, then its log entry is moved into place, which fails if another writer has
+taken the number. A writer that dies before that leaves an unnamed folder, which
+nothing reads and vacuum() removes; a reader that has resolved its version never
+sees a later one. The move is atomic on HDFS; an object store needs one that is.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCHEMA = "collection string, identifier string, vector array<float>, content_hash string, metadata string, tstamp long"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 KEY = ["collection", "identifier"]
 
 
@@ -23,29 +29,64 @@ class VectorStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
     def version(self) -> int:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return 0
-        make = self.spark._jvm.org.apache.hadoop.fs.Path
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        found = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(make(f"{self.root}/{n}/_SUCCESS"))]
-        return max(found, default=0)
+        fs, _ = self._fs()
+        log = self._path("_log")
+        names = [s.getPath().getName() for s in fs.listStatus(log)] if fs.exists(log) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _folder(self, version: int) -> str:
+        entry = self._fs()[0].open(self._path(f"_log/{version}"))
+        try:
+            return entry.readUTF()
+        finally:
+            entry.close()
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
         if not v:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/v{v}").select(*[c.split()[0] for c in SCHEMA.split(", ")])
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{self._folder(v)}").select(*COLUMNS)
 
     def commit(self, rows: DataFrame, expected: int | None = None) -> int:
-        """Write the next snapshot; raises if another writer committed since version ``expected``."""
+        """Write the next snapshot; raises if another writer committed since version ``expected`` or while this one wrote."""
         now = self.version()
         if expected is not None and now != expected:
             raise RuntimeError(f"store is at version {now}, not {expected}")
-        rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.partitionBy("collection").mode("errorifexists").parquet(f"{self.root}/v{now + 1}")
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.select(*COLUMNS).write.partitionBy("collection").mode("errorifexists").parquet(f"{self.root}/{folder}")
+        fs, _ = self._fs()
+        entry = self._path(f"_log/.{folder}")
+        out = fs.create(entry, False)
+        out.writeUTF(folder)
+        out.close()
+        java = self.spark._jvm.java.lang
+        plain = java.reflect.Array.newInstance(java.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(entry.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(entry), fs.makeQualified(self._path(f"_log/{now + 1}")), plain)
+        except Exception as e:
+            fs.delete(entry, False)
+            fs.delete(self._path(folder), True)
+            raise RuntimeError(f"another writer has committed version {now + 1}") from e
         return now + 1
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove all but the newest versions and what dead writers left; only while nobody writes. How many folders went."""
+        fs, root = self._fs()
+        now = self.version()
+        kept = {self._folder(v) for v in range(max(1, now - keep + 1), now + 1)}
+        gone = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("data-") and s.getPath().getName() not in kept]
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
+
+    def exists(self, collection: str, identifier: str) -> bool:
+        return self.scan(collection).where(F.col("identifier") == identifier).limit(1).count() > 0
+
     def scan(self, collection: str) -> DataFrame:
         return self.read().where(F.col("collection") == collection)
 
@@ -61,18 +102,20 @@ class VectorStore:
 
 
 def latest(rows: DataFrame, order: str = "tstamp") -> DataFrame:
-    """The last written row of each key."""
-    rank = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc(order)))
+    """The last written row of each key; of rows written at once, the one of the largest hash of its columns."""
+    rank = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc(order), F.desc(F.xxhash64(*(c for c in rows.columns)))))
     return rows.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with new's rows in place of its own; a key that new holds twice is stored once, by its latest row."""
+    new = latest(new)
     return old.join(new.select(*KEY), KEY, "left_anti").unionByName(new)
 
 
 def update_metadata(old: DataFrame, new: DataFrame, now: int) -> DataFrame:
-    """new: key and metadata; vectors and hashes stay, tstamp becomes now."""
-    given = new.select(*KEY, F.col("metadata").alias("_m"), F.lit(True).alias("_hit"))
+    """new: key and metadata; vectors and hashes stay, tstamp becomes now. Of a key given twice the largest metadata counts."""
+    given = new.groupBy(*KEY).agg(F.max("metadata").alias("_m"), F.lit(True).alias("_hit"))
     joined = old.join(given, KEY, "left")
     hit = F.coalesce("_hit", F.lit(False))
     return joined.withColumn("metadata", F.when(hit, F.col("_m")).otherwise(F.col("metadata"))).withColumn("tstamp", F.when(hit, F.lit(now)).otherwise(F.col("tstamp"))).drop("_m", "_hit")

@@ -5,32 +5,48 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from larkspur.plans.ingest import hashed_embedding, ingest
+from larkspur.plans.ingest import actions, hashed_embedding, ingest
 from larkspur.providers import StreamParser
 from larkspur.sources.store import VectorStore, latest
 
 
 def ingest_stream(docs: DataFrame, store: VectorStore, checkpoint: str, embed=hashed_embedding):
-    """Each micro-batch (collection, identifier, text, metadata, tstamp) becomes one snapshot; a repeated batch changes nothing."""
+    """Each micro-batch (collection, identifier, text, metadata, tstamp) becomes one snapshot; one that changes nothing, as a repeated one, writes none."""
 
     def commit(batch: DataFrame, number: int) -> None:
         version = store.version()
         new = latest(batch).drop("tstamp")
+        if actions(store.read(version), new).where("action <> 'skip'").limit(1).count() == 0:
+            return
         store.commit(ingest(store.read(version), new, embed, now=number), expected=version)
 
     return docs.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+STATE = "buffer binary, done boolean, pos long, next long, late_seq array<long>, late array<binary>"
+
+
 def delta_stream(fragments: DataFrame) -> DataFrame:
-    """(request_id, seq, fragment binary) → (request_id, pos, delta), with the unfinished line kept as state."""
+    """(request_id, seq from 0, fragment binary) → (request_id, pos, delta).
+
+    Fragments are parsed in the order of seq, whatever batch brings them: the
+    state keeps the unfinished line and those that came before their turn. A
+    seq that comes again is ignored.
+    """
 
     def parse(key, parts, state):
-        buffer, done, pos = state.get if state.exists else (b"", False, 0)
+        buffer, done, pos, turn, late_seq, late = state.get if state.exists else (b"", False, 0, 0, [], [])
+        waiting = {int(s): bytes(f) for s, f in zip(late_seq, late)}
+        for rows in parts:
+            waiting.update({int(s): bytes(f) for s, f in zip(rows["seq"], rows["fragment"]) if s >= turn and s not in waiting})
         parser = StreamParser()
         parser.buffer, parser.done = bytes(buffer), done
-        rows = pd.concat(list(parts)).sort_values("seq")
-        out = [d for piece in rows["fragment"] for d in parser.feed(bytes(piece))]
-        state.update((parser.buffer, parser.done, pos + len(out)))
+        out = []
+        while turn in waiting:
+            out += parser.feed(waiting.pop(turn))
+            turn += 1
+        held = sorted(waiting)
+        state.update((parser.buffer, parser.done, pos + len(out), turn, held, [waiting[s] for s in held]))
         yield pd.DataFrame({"request_id": [key[0]] * len(out), "pos": range(pos, pos + len(out)), "delta": out})
 
-    return fragments.groupBy("request_id").applyInPandasWithState(parse, "request_id string, pos long, delta string", "buffer binary, done boolean, pos long", "append", "NoTimeout")
+    return fragments.groupBy("request_id").applyInPandasWithState(parse, "request_id string, pos long, delta string", STATE, "append", "NoTimeout")

@@ -174,8 +174,8 @@ def test_many_queries_in_blocks_meet_every_row(spark, tmp_path, monkeypatch):
     made = spark.range(230).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * i + i).cast("float") for i in range(1, 5))).alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
     made.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(search, "QUERY_BLOCK", 2)
-    got = {tuple(r) for r in QUERIES["topk_multi_query_every_50th"](spark, str(tmp_path)).select("query_id", "identifier", "rank").collect()}
+    got = {tuple(r) for r in QUERIES["topk_multi_query"](spark, str(tmp_path)).select("query_id", "identifier", "rank").collect()}
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    want = {(r[0], r[1], r[3]) for r in con.execute(ORACLES["topk_multi_query_every_50th"]).fetchall()}
+    want = {(r[0], r[1], r[3]) for r in con.execute(ORACLES["topk_multi_query"]).fetchall()}
     assert got == want and {r[0] for r in got} == {"0", "50", "100", "150", "200"} and len(got) == 25
