@@ -233,3 +233,15 @@ def test_delta_stream_waits_for_late_fragments(spark, tmp_path):
     made = streaming.delta_stream(source).writeStream.format("memory").queryName("deltas").outputMode("append").option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start()
     made.awaitTermination()
     assert [(r["pos"], r["delta"]) for r in spark.table("deltas").orderBy("pos").collect()] == [(0, "one"), (1, "two")]
+
+
+def test_codec_columns(spark):
+    from larkspur.functions import codec
+
+    vectors = [[0.5, -1.0], [], None, [float("inf"), 2.0**100]]
+    got = spark.createDataFrame([(v,) for v in vectors], "v array<float>").select(codec.unpack(codec.pack("v")).alias("u")).collect()
+    assert [r["u"]["vector"] for r in got] == vectors and all(r["u"]["error"] is None for r in got)
+    blobs = [b"[1,2]", b"abcde", b"", None, b"[\x00\x00\x00", codec.pack_one([3.0])]
+    got = spark.createDataFrame([(b,) for b in blobs], "b binary").select(codec.unpack("b").alias("u")).collect()
+    assert [r["u"]["error"] for r in got] == [E.CODEC_LEGACY, E.CODEC_LENGTH, None, None, None, None]
+    assert [r["u"]["vector"] is None for r in got] == [True, True, False, True, False, False] and got[5]["u"]["vector"] == [3.0]
