@@ -25,6 +25,8 @@ from larkspur.llm import common as C
 from larkspur.llm import kernels as K
 
 SEGMENT_WORDS = 400_000
+#: Bytes of texts indexed at a time.
+RUN_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 INDEX = "texts binary, terms binary, ends binary, postings binary, n_words long"
 
@@ -95,7 +97,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     C.prepare(docs.sparkSession)
 
     def build(batches):
-        for batch in batches:
+        for batch in K.runs(batches, 1, RUN_BYTES):
             offsets, data = K.utf8(batch.column(1))
             text, _, _, terms = K.words(offsets, data, K.ALNUM)
             n = len(batch)

@@ -9,12 +9,15 @@ words over LONG_WORD bytes are hashed by XXH3 instead.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
 SEGMENT = 1 << 17
+_LIBC = ctypes.CDLL(None)
 LONG_WORD = 256
 _R = 0x9E3779B97F4A7C15
 _INVERSE = pow(_R, -1, 1 << 64)
@@ -138,10 +141,19 @@ def slices(column: pa.Array, most: int):
 
 
 def runs(batches, column: int, most: int = 1 << 20):
-    """Batches cut into runs of rows whose texts take at most so many bytes, which bounds what is held beside them."""
-    for batch in batches:
-        for at, n in slices(batch.column(column), most):
-            yield batch.slice(at, n)
+    """Batches cut into runs of rows whose texts take at most so many bytes, which bounds what is held beside them.
+
+    At the end what the worker has freed goes back to the system: workers stay
+    for later tasks, and share the executor's memory with its JVM.
+    """
+    try:
+        for batch in batches:
+            for at, n in slices(batch.column(column), most):
+                yield batch.slice(at, n)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
 
 
 def counts_per_text(docs: np.ndarray, n: int) -> np.ndarray:

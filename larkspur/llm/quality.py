@@ -174,12 +174,9 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", keep: li
 
     def run(batches):
         w = shared.value
-        for batch in batches:
-            dot = np.zeros(len(batch))
-            for first, length in K.slices(batch.column(at), RUN_BYTES):
-                owner, feature, value = features(batch.column(at).slice(first, length))
-                if len(owner):
-                    dot[first : first + length] = np.bincount(owner, w[feature] * value, minlength=length)
+        for batch in K.runs(batches, at, RUN_BYTES):
+            owner, feature, value = features(batch.column(at))
+            dot = np.bincount(owner, w[feature] * value, minlength=len(batch)) if len(owner) else np.zeros(len(batch))
             p = 1 / (1 + np.exp(-np.clip(dot + w[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p)], names=[*batch.schema.names[: len(keep)], name])
 
