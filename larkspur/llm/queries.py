@@ -24,7 +24,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = C.table(spark, sf_dir, "documents")
     scored = Q.score(docs, Q.train(docs, C.table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

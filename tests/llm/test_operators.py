@@ -398,3 +398,74 @@ def test_sharding_of_clashing_names_and_one_large_group(spark):
     total = sum(s for x in load.values() for _, s in x)
     assert len(got) == 3000 and all(sorted(p for p, _ in x) == list(range(len(x))) for x in load.values())
     assert all(abs(sum(s for _, s in x) - total / 8) < 0.01 * total for x in load.values()) and len({r["_shard"] for r in got if r["text"] == "same text"}) == 1
+
+
+def test_language_model_equals_brute_force(spark):
+    """Interpolated absolute discounting by dictionaries of counts; the trie's 16-bit logarithms may differ by a thousandth a token."""
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    say = lambda: " ".join(rng.choice(list("abcdefghijkl"), rng.integers(0, 14), p=np.arange(1, 13) / 78))
+    train = [(i, say()) for i in range(60)] + [(60, None), (61, "a"), (62, "a")]
+    asked = train[:20] + [(100, "a b zz c d"), (101, "zz yy"), (102, ""), (103, "L k J"), (None, "a b"), (103, "l k j")]
+    model = language_model.train(spark.createDataFrame(train, "doc_id long, text string"))
+    got = language_model.score(spark.createDataFrame([(i, t, "x") for i, t in asked], "doc_id long, text string, n_tokens string"), model).collect()
+
+    words = lambda t: [*(t or "").lower().split(), "<end>"]
+    one, two, three = Counter(), Counter(), Counter()
+    for _, t in train:
+        w = words(t)
+        one.update(w)
+        two.update(zip(["<s>", *w], w))
+        three.update(zip(["<s>", *w], w, w[1:]))
+    n, v, d = sum(one.values()), len(one), 0.75
+    one["<s>"] = len(train)
+    kinds, follow = Counter(a for a, _ in two), Counter()
+    for (a, b, _), c in three.items():
+        follow[a, b] += c
+    more = Counter((a, b) for a, b, _ in three)
+    want = []
+    for i, t in asked:
+        w, total, base = words(t), 0.0, 0.0
+        for k, x in enumerate(w):
+            known = one[x] if x != "<s>" else 0
+            p1 = (known + 1) / (n + v + 1)
+            a = w[k - 1] if k else "<s>"
+            p = p1 if not one[a] else max(0, two[a, x] - d) / one[a] + d * kinds[a] / one[a] * p1
+            if k and follow[context := ((w[k - 2] if k > 1 else "<s>"), a)]:
+                p = max(0, three[(*context, x)] - d) / follow[context] + d * more[context] / follow[context] * p
+            total, base = total + np.log10(p), base + np.log10(p1)
+        want.append((i, len(w), sum(one[x] > 0 for x in w), base, total))
+    assert len(got) == len(want) and model.n_tokens == n and model.vocabulary == v
+    for r, (i, size, known, base, total) in zip(sorted(got, key=lambda r: (str(r["doc_id"]), r["score"])), sorted(want, key=lambda x: (str(x[0]), x[4]))):
+        assert (r["doc_id"], r["n_tokens"], r["n_known"]) == (i, size, known) and abs(r["base_score"] - base) < 1e-9 and abs(r["score"] - total) < 1e-3 * size
+    nothing = language_model.train(spark.createDataFrame([], "doc_id long, text string"))
+    assert nothing.n_tokens == 0 and language_model.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), nothing).first()["n_known"] == 0
+
+
+def test_elias_fano_runs_over_many_words():
+    """Long runs of values that share their high part, and values far apart."""
+    for values in (np.arange(3000, dtype=np.uint64), np.array([0, 1, 1 << 40, (1 << 40) + 1, (1 << 60) + 7], np.uint64), np.concatenate([np.arange(256), np.arange(5) * 70_000 + 1_000_000]).astype(np.uint64)):
+        ef = language_model.EliasFano.build(values)
+        asked = np.unique(np.concatenate([values, values + np.uint64(1), values + np.uint64(5000)]))
+        want = np.where(np.isin(asked, values), np.searchsorted(values, asked), -1)
+        assert (ef.find(asked) == want).all()
+
+
+def test_token_files_layout(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from larkspur.llm import token_files
+
+    docs = spark.createDataFrame([(i, f"text number {i} " * 30) for i in range(6000)], "doc_id long, text string")
+    token_files.write_tokens(docs, f"file://{tmp_path}/t", partitions=1)
+    (file,) = tmp_path.glob("t/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    columns = {meta.row_group(0).column(i).path_in_schema.split(".")[0]: meta.row_group(0).column(i) for i in range(meta.num_columns)}
+    assert "DELTA_BINARY_PACKED" in columns["id"].encodings and any("DICTIONARY" in e for e in columns["tokens"].encodings)
+    assert columns["id"].has_offset_index and columns["id"].has_column_index and meta.row_group(0).sorting_columns is not None
+    index = token_files.token_index(spark, f"file://{tmp_path}/t")
+    assert "tokens:array" not in index._jdf.queryExecution().executedPlan().toString()  # the metadata columns alone are read
+    some = token_files.read_tokens(spark, f"file://{tmp_path}/t").where("id between 3000 and 3009").collect()
+    starts = {r["id"]: r["start"] for r in index.collect()}
+    assert [r["n_tokens"] for r in some] == [len(r["tokens"]) for r in some] and starts[3001] - starts[3000] == some[0]["n_tokens"] and starts[0] == 0
