@@ -31,7 +31,7 @@ class SearchService:
         key = self.cache.key(collection, query, top_k, filters, collapse_chunks, version)
         if (held := self.cache.get(key)) is not None:
             return held
-        rows = self.store.read(version).where(F.col("collection") == collection)
+        rows = self.store.read(version, [collection])
         found: list[tuple[str, float]] = []
         if rows.limit(1).count():
             vector = self.embed(query)
@@ -64,29 +64,34 @@ class SearchService:
         fused = S.reciprocal_rank_fusion(ranked([i for i, _ in near]), ranked(words), top_k, semantic_weight, keyword_weight)
         return [(r["identifier"], r["score"]) for r in fused.orderBy("rank").collect()]
 
-    def _commit(self, rows: DataFrame, version: int) -> int:
-        made = self.store.commit(rows, expected=version)
+    def _commit(self, rows: DataFrame, version: int, touched: list[str]) -> int:
+        made = self.store.commit(rows, expected=version, touched=touched)
         self.cache.flush()
         return made
 
-    def ingest(self, docs: DataFrame, embed=I.hashed_embedding, now: int = 0) -> int:
+    def _held(self, named: DataFrame) -> tuple[int, list[str], DataFrame]:
+        """The newest version, the collections that rows name (each has its place in the log entry), and their stored rows."""
         version = self.store.version()
-        return self._commit(I.ingest(self.store.read(version), docs, embed, now), version)
+        touched = [r[0] for r in named.select("collection").distinct().collect()]
+        return version, touched, self.store.read(version, touched)
+
+    def ingest(self, docs: DataFrame, embed=I.hashed_embedding, now: int = 0) -> int:
+        version, touched, held = self._held(docs)
+        return self._commit(I.ingest(held, docs, embed, now), version, touched)
 
     def ingest_chunked(self, docs: DataFrame, chunks, embed=I.hashed_embedding, now: int = 0, replace_bare: bool = False) -> int:
-        version = self.store.version()
-        return self._commit(I.ingest_chunked(self.store.read(version), docs, chunks, embed, now, replace_bare), version)
+        version, touched, held = self._held(docs)
+        return self._commit(I.ingest_chunked(held, docs, chunks, embed, now, replace_bare), version, touched)
 
     def delete(self, keys: DataFrame) -> int:
-        version = self.store.version()
-        kept, n = ST.delete(self.store.read(version), keys)
-        self._commit(kept, version)
+        version, touched, held = self._held(keys)
+        kept, n = ST.delete(held, keys)
+        self._commit(kept, version, touched)
         return n
 
     def delete_chunked(self, collection: str, parents: DataFrame) -> int:
         """Drop the parents' own chunks in one collection; how many rows went."""
         version = self.store.version()
-        rows = self.store.read(version)
-        kept, n = CH.delete_chunked(rows.where(F.col("collection") == collection), parents)
-        self._commit(kept.select(*ST.COLUMNS).unionByName(rows.where(F.col("collection") != collection)), version)
+        kept, n = CH.delete_chunked(self.store.read(version, [collection]), parents)
+        self._commit(kept.select(*ST.COLUMNS), version, [collection])
         return n

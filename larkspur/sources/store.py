@@ -1,8 +1,10 @@
 """Vector store as Parquet snapshots partitioned by collection.
 
-Layout: <root>/data-<id>/collection=<c>/... hold snapshots, and <root>/_log/<n>
-names the folder of version n. A snapshot is written in full under a name of its
-own, then its log entry is moved into place, which fails if another writer has
+Layout: <root>/data-<id>/collection=<c>/... hold what one commit wrote, and
+<root>/_log/<n> names, for each collection of version n, the folder that holds
+it. A commit that names the collections it touches reads and writes those alone;
+the others stay where they are. Its rows are written under a name of their own,
+then its log entry is moved into place, which fails if another writer has
 taken the number. A writer that dies before that leaves an unnamed folder, which
 nothing reads and vacuum() removes; a reader that has resolved its version never
 sees a later one. The move is atomic on HDFS; an object store needs one that is.
@@ -10,7 +12,9 @@ sees a later one. The move is atomic on HDFS; an object store needs one that is.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -38,30 +42,57 @@ class VectorStore:
         names = [s.getPath().getName() for s in fs.listStatus(log)] if fs.exists(log) else []
         return max((int(n) for n in names if n.isdigit()), default=0)
 
-    def _folder(self, version: int) -> str:
+    def _manifest(self, version: int) -> dict[str, str]:
+        """Partition folder of each collection → the data folder that holds it; empty before the first version."""
+        if not version:
+            return {}
         entry = self._fs()[0].open(self._path(f"_log/{version}"))
         try:
-            return entry.readUTF()
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(entry, "UTF-8"))
         finally:
             entry.close()
 
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        if not v:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{self._folder(v)}").select(*COLUMNS)
-
-    def commit(self, rows: DataFrame, expected: int | None = None) -> int:
-        """Write the next snapshot; raises if another writer committed since version ``expected`` or while this one wrote."""
+    def _partition(self, collection: str) -> str:
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("collection", collection)
+
+    def read(self, version: int | None = None, collections: Iterable[str] | None = None) -> DataFrame:
+        """A version's rows, the newest's unless one is given; of the named collections only, if any are named."""
+        held = self._manifest(self.version() if version is None else version)
+        if collections is not None:
+            wanted = {self._partition(c) for c in collections}
+            held = {part: folder for part, folder in held.items() if part in wanted}
+        rows = None
+        for folder in sorted(set(held.values())):
+            base = f"{self.root}/{folder}"
+            parts = [f"{base}/{part}" for part in sorted(held) if held[part] == folder]
+            found = self.spark.read.schema(SCHEMA).option("basePath", base).parquet(*parts).select(*COLUMNS)
+            rows = found if rows is None else rows.unionByName(found)
+        return self.spark.createDataFrame([], SCHEMA) if rows is None else rows
+
+    def commit(self, rows: DataFrame, expected: int | None = None, touched: Iterable[str] | None = None) -> int:
+        """Write the next version; raises if another writer committed since version ``expected`` or while this one wrote.
+
+        rows are the whole next version, or, if touched collections are named,
+        the whole next state of those: rows of others are left out, and others
+        stay as they are.
+        """
         now = self.version()
         if expected is not None and now != expected:
             raise RuntimeError(f"store is at version {now}, not {expected}")
-        folder = f"data-{uuid.uuid4().hex}"
+        folder, held = f"data-{uuid.uuid4().hex}", {}
+        if touched is not None:
+            touched = set(touched)
+            replaced = {self._partition(c) for c in touched}
+            held = {part: at for part, at in self._manifest(now).items() if part not in replaced}
+            named = F.col("collection").isin(sorted(touched - {None}))
+            rows = rows.where(named | F.col("collection").isNull() if None in touched else named)
         rows.select(*COLUMNS).write.partitionBy("collection").mode("errorifexists").parquet(f"{self.root}/{folder}")
+        parts = [s.getPath().getName() for s in self._fs()[0].listStatus(self._path(folder)) if s.isDirectory()]
+        held.update({part: folder for part in parts if part.startswith("collection=")})
         fs, _ = self._fs()
         entry = self._path(f"_log/.{folder}")
         out = fs.create(entry, False)
-        out.writeUTF(folder)
+        out.write(bytearray(json.dumps(held, sort_keys=True).encode()))
         out.close()
         java = self.spark._jvm.java.lang
         plain = java.reflect.Array.newInstance(java.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
@@ -78,7 +109,7 @@ class VectorStore:
         """Remove all but the newest versions and what dead writers left; only while nobody writes. How many folders went."""
         fs, root = self._fs()
         now = self.version()
-        kept = {self._folder(v) for v in range(max(1, now - keep + 1), now + 1)}
+        kept = {folder for v in range(max(1, now - keep + 1), now + 1) for folder in self._manifest(v).values()}
         gone = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("data-") and s.getPath().getName() not in kept]
         for path in gone:
             fs.delete(path, True)
@@ -88,7 +119,7 @@ class VectorStore:
         return self.scan(collection).where(F.col("identifier") == identifier).limit(1).count() > 0
 
     def scan(self, collection: str) -> DataFrame:
-        return self.read().where(F.col("collection") == collection)
+        return self.read(collections=[collection])
 
     def identifiers(self, collection: str) -> DataFrame:
         return self.scan(collection).select("identifier")

@@ -11,14 +11,16 @@ from larkspur.sources.store import VectorStore, latest
 
 
 def ingest_stream(docs: DataFrame, store: VectorStore, checkpoint: str, embed=hashed_embedding):
-    """Each micro-batch (collection, identifier, text, metadata, tstamp) becomes one snapshot; one that changes nothing, as a repeated one, writes none."""
+    """Each micro-batch (collection, identifier, text, metadata, tstamp) becomes one version, which rewrites its own collections only; one that changes nothing, as a repeated one, writes none."""
 
     def commit(batch: DataFrame, number: int) -> None:
         version = store.version()
         new = latest(batch).drop("tstamp")
-        if actions(store.read(version), new).where("action <> 'skip'").limit(1).count() == 0:
+        touched = [r[0] for r in new.select("collection").distinct().collect()]  # as many as the log entry will name
+        held = store.read(version, touched)
+        if actions(held, new).where("action <> 'skip'").limit(1).count() == 0:
             return
-        store.commit(ingest(store.read(version), new, embed, now=number), expected=version)
+        store.commit(ingest(held, new, embed, now=number), expected=version, touched=touched)
 
     return docs.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

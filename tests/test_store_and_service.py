@@ -42,6 +42,29 @@ def test_of_two_writers_one_fails(spark, store, monkeypatch):
     assert store.version() == 1 and store.read().count() == 1 and store.exists("c", "1") and not store.exists("c", "2")
 
 
+def test_a_commit_rewrites_only_what_it_touches(spark, store):
+    def rows(*keys):
+        return spark.createDataFrame([(c, i, [1.0], "h", None, t) for c, i, t in keys], ST.SCHEMA)
+
+    def held(version=None, collections=None):
+        return sorted((r["collection"], r["identifier"], r["tstamp"]) for r in store.read(version, collections).collect())
+
+    store.commit(rows(("a", "1", 1), ("b/%c", "1", 1), ("d", "1", 1)))
+    first = store._manifest(1)
+    assert store.commit(rows(("b/%c", "2", 2), ("d", "9", 2)), touched=["b/%c"]) == 2  # d isn't touched
+    second = store._manifest(2)
+    changed = {part for part in first if first[part] != second[part]}
+    assert changed == {store._partition("b/%c")}
+    assert held() == [("a", "1", 1), ("b/%c", "2", 2), ("d", "1", 1)] and held(1) == [("a", "1", 1), ("b/%c", "1", 1), ("d", "1", 1)]
+    assert held(collections=["b/%c"]) == [("b/%c", "2", 2)] and held(collections=["none"]) == []
+    assert store.commit(rows(), touched=["a"]) == 3  # a is empty now
+    assert held() == [("b/%c", "2", 2), ("d", "1", 1)]
+    assert store.vacuum(keep=1) == 1 and held() == [("b/%c", "2", 2), ("d", "1", 1)]  # the first folder still holds d
+    store.commit(ST.upsert(store.read(collections=["d"]), rows(("d", "2", 4))), expected=3, touched=["d"])
+    assert held() == [("b/%c", "2", 2), ("d", "1", 1), ("d", "2", 4)]
+    assert store.commit(rows(("e", "1", 5)), expected=4) == 5 and held() == [("e", "1", 5)]
+
+
 def test_repeated_keys_are_stored_once(spark, store):
     twice = docs(spark, ("1", "a", '{"n":1}'), ("1", "b", '{"n":2}'), ("2", "c", None))
     rows = ingest.ingest(store.read(), twice, now=1)
