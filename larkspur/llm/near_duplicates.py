@@ -456,5 +456,5 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = C.stored(candidates(measure, blocks(named).join(reps.select("cls", "n", "vec"), "cls"), refuted, step == "forest"), "pairs")
         step = "all" if step == "forest" else "forest"
     named = texts.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("label"))
-    smallest = named.where("n > 0").groupBy("label").agg(F.min("id").alias("smallest"))
+    smallest = C.stored(named.where("n > 0").groupBy("label").agg(F.min("id").alias("smallest")), "smallest")  # stored, so that a large component's rows can be split over tasks
     return named.join(smallest, "label", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component_id"))
