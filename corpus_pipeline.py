@@ -41,9 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep each group's row of the smallest id (a null after all others): five-word shingles, similarity of 0.8 or more."""
     rows, key = C.with_row_key(docs)
     found = components(rows, id_col=key, k=5, num=80, den=100).select(F.col("doc_id").alias(key), "component_id")
-    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    groups = found.join(several, "component_id").join(rows.select(key, F.col("doc_id").alias("id")), key)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", key))[key].alias("best"))
+    groups = C.stored(found.join(rows.select(key, F.col("doc_id").alias("id")), key), "groups")
+    smallest = F.min(F.struct(F.col("id").isNull(), "id", key))[key].alias("best")
+    best = C.stored(groups.groupBy("component_id").agg(smallest, F.count("*").alias("n")).where("n > 1").select("component_id", "best"), "best")
     return without(rows, key, groups.join(best, "component_id").where(F.col(key) != F.col("best")))
 
 
