@@ -179,3 +179,51 @@ def test_many_queries_in_blocks_meet_every_row(spark, tmp_path, monkeypatch):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = {(r[0], r[1], r[3]) for r in con.execute(ORACLES["topk_multi_query"]).fetchall()}
     assert got == want and {r[0] for r in got} == {"0", "50", "100", "150", "200"} and len(got) == 25
+
+
+@pytest.mark.parametrize("chunks", [False, True])
+@pytest.mark.parametrize("exclude", [False, True])
+@pytest.mark.parametrize("k", [0, 3, 200])
+def test_many_queries_keep_each_parts_best_and_list_no_pairs(spark, monkeypatch, chunks, exclude, k):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(3)
+    nan, inf = float("nan"), float("inf")
+    odd = [[0.0] * 4, [nan, 1.0, 0.0, 0.0], [None, 1.0, 0.0, 0.0], [inf, 1.0, 0.0, 0.0], [1e-30, 0.0, 0.0, 0.0], [1.0, 2.0], [2.0, 4.0], [], None, [-0.0, 0.0, 0.0, 0.0]]
+    made = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    made += [made[0]] * 12 + [[3 * x for x in made[1]]] * 5 + odd * 2  # copies tie
+    rows = [(f"{i % 23}_chunk_{i}" if i % 3 else str(i), v) for i, v in enumerate(made)] + [("5", made[2]), ("5", made[3]), (None, made[4])]
+    asked = [(r[0], r[1]) for r in rows[::4]] + [("0", odd[0]), ("q", made[7]), ("q", made[8]), (None, made[9])] + [(f"o{i}", v) for i, v in enumerate(odd)]
+    store = spark.createDataFrame(rows, "identifier string, vector array<float>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id string, query array<float>")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(search, "PART_ROWS", 30)
+    found = search.find_similar_many(store, queries, k, chunks, exclude)
+    pairs = store.crossJoin(queries).where(F.size("vector") == F.size("query"))
+    if exclude:
+        pairs = pairs.where(F.col("identifier") != F.col("query_id"))
+    hits = pairs.select("query_id", "identifier", vector.cosine(F.col("vector"), F.col("query"), strict=False).alias("score"))
+    if chunks:
+        hits = search.collapse(hits, "query_id")
+    want = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "identifier"))).where(F.col("rank") <= k)
+    text = lambda df: sorted(map(repr, map(tuple, df.select("query_id", "identifier", "score", "rank").collect())))
+    assert text(found) == text(want) and (not k or found.count())
+    assert found.columns == ["query_id", "identifier", "score", "rank"] and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_part_gives_no_more_than_top_k_a_query_and_tiles_change_nothing(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    made = np.random.default_rng(1).normal(size=(300, 8)).astype(np.float32)
+    made[200:] = made[:100]
+    points = vector.Points(pa.array(made.tolist(), pa.list_(pa.float32())), 8)
+    at, none = np.arange(300), np.full(300, -1)
+    got = []
+    for tile in (1 << 22, 1000):
+        monkeypatch.setattr(vector, "TILE", tile)
+        got.append([tuple(x) for q, r, score, _ in vector.nearest(points, points, 5, at, at, at, none) for x in zip(q.tolist(), r.tolist(), score.tolist())])
+    assert got[0] == got[1] and len(got[0]) == 1500
+    assert [r for q, r, _ in got[0] if q == 0][:2] == [0, 200]  # a tie goes to the smaller
