@@ -397,7 +397,7 @@ def legacy_migrate(spark, d):
 @query("SELECT vec_id, 4 * len(embedding) AS bytes, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS vector FROM embeddings")
 def codec_roundtrip(spark, d):
     packed = table(spark, d, "embeddings").select("vec_id", CO.pack("embedding").alias("blob")).select("vec_id", "blob", CO.unpack("blob").alias("u"))
-    return packed.select("vec_id", F.length("blob").cast("long").alias("bytes"), F.transform("u.vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+    return packed.select("vec_id", F.length("blob").cast("long").alias("bytes"), F.transform("u.vector", lambda x: V.rounded(x.cast("double"), 6)).alias("vector"))
 
 
 @query("SELECT doc_id, md5('[\"docs\", \"' || doc_id || '\", 5, [[\"lang\", \"' || lang || '\"], [\"n\", 1]], false, 3]') AS cache_key FROM documents")

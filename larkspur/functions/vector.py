@@ -29,6 +29,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero of the product in binary, as C and SQL engines round doubles: a zero keeps its sign, which F.round drops."""
+    scaled = F.abs(x) * F.lit(10.0**digits)
+    near = F.rint(scaled)  # half to even
+    value = F.signum(x) * F.when(scaled - near == 0.5, near + 1).otherwise(near) / F.lit(10.0**digits)
+    return F.when(F.abs(value) < F.lit(float("inf")), value).otherwise(x)
+
+
 def literal(vector: list[float]) -> Column:
     return F.lit([float(x) for x in vector]).cast("array<double>")
 

@@ -227,3 +227,16 @@ def test_a_part_gives_no_more_than_top_k_a_query_and_tiles_change_nothing(monkey
         got.append([tuple(x) for q, r, score, _ in vector.nearest(points, points, 5, at, at, at, none) for x in zip(q.tolist(), r.tolist(), score.tolist())])
     assert got[0] == got[1] and len(got[0]) == 1500
     assert [r for q, r, _ in got[0] if q == 0][:2] == [0, 200]  # a tie goes to the smaller
+
+
+def test_codec_roundtrip_rounds_as_its_sql_to_the_last_bit(spark, tmp_path):
+    import duckdb
+
+    from larkspur.catalog import ORACLES, QUERIES
+
+    made = [[-8.903177928232253e-08, 0.0, -0.0, 5e-7], [-5e-7, -4.9e-7, 1e-45, -1e-45], [1e15, -3.4e38, 0.0078125, -0.0078125], [float("nan"), float("inf"), float("-inf"), 0.1234565]]
+    spark.createDataFrame(list(enumerate(made)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(repr((r[0], r[1], list(r[2]))) for r in QUERIES["codec_roundtrip"](spark, str(tmp_path)).collect())
+    assert got == sorted(map(repr, con.execute(ORACLES["codec_roundtrip"]).fetchall())) and "-0.0, 0.0, -0.0" in got[0]
